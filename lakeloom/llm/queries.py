@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, secret_scan, simhash
+from . import license_scan, secret_scan, simhash, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,6 +18,12 @@ def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.summary(license_scan.scan(_table(spark, folder, "documents")))
 
 
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    model = toxicity.train(docs, _table(spark, folder, "labels"))
+    return toxicity.score(docs.select("doc_id", "text"), model).drop("text")
+
+
 def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.scan(_table(spark, folder, "documents"))
 
@@ -28,7 +34,7 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op6_secret_scan, op9_simhash)
+    f.__name__: f for f in (op1_license_scan, op5_toxicity, op6_secret_scan, op9_simhash)
 }
 
 SQL: dict[str, str] = {}
