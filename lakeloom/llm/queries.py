@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, secret_scan, simhash, toxicity
+from . import license_scan, secret_scan, simhash, substring_dedup, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,6 +18,16 @@ def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.summary(license_scan.scan(_table(spark, folder, "documents")))
 
 
+def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = substring_dedup.dedup(_table(spark, folder, "documents"))
+    return found.select("doc_id", F.col("n_units").alias("n_words"), "n_removed", "kept_sha256")
+
+
+def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffix_dedup.dedup(_table(spark, folder, "documents"))
+    return found.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
+
+
 def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     model = toxicity.train(docs, _table(spark, folder, "labels"))
@@ -34,7 +44,7 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op5_toxicity, op6_secret_scan, op9_simhash)
+    f.__name__: f for f in (op1_license_scan, op3_substring_dedup, op4_suffix_dedup, op5_toxicity, op6_secret_scan, op9_simhash)
 }
 
 SQL: dict[str, str] = {}
