@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, secret_scan, simhash, substring_dedup, suffix_dedup, toxicity
+from . import ann, license_scan, secret_scan, simhash, substring_dedup, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -38,13 +38,17 @@ def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.scan(_table(spark, folder, "documents"))
 
 
+def op7_ann(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.search(_table(spark, folder, "embeddings"))
+
+
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.cluster(_table(spark, folder, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op3_substring_dedup, op4_suffix_dedup, op5_toxicity, op6_secret_scan, op9_simhash)
+    f.__name__: f for f in (op1_license_scan, op3_substring_dedup, op4_suffix_dedup, op5_toxicity, op6_secret_scan, op7_ann, op9_simhash)
 }
 
 SQL: dict[str, str] = {}
