@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, license_scan, secret_scan, simhash, substring_dedup, suffix_dedup, toxicity
+from . import ann, decontaminate, license_scan, line_dedup, secret_scan, simhash, substring_dedup, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return license_scan.summary(license_scan.scan(_table(spark, folder, "documents")))
 
 
+def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.dedup(_table(spark, folder, "documents"))
+
+
 def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = substring_dedup.dedup(_table(spark, folder, "documents"))
     return found.select("doc_id", F.col("n_units").alias("n_words"), "n_removed", "kept_sha256")
@@ -42,13 +46,17 @@ def op7_ann(spark: SparkSession, folder: str) -> DataFrame:
     return ann.search(_table(spark, folder, "embeddings"))
 
 
+def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.report(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.cluster(_table(spark, folder, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op3_substring_dedup, op4_suffix_dedup, op5_toxicity, op6_secret_scan, op7_ann, op9_simhash)
+    f.__name__: f for f in (op1_license_scan, op2_line_dedup, op3_substring_dedup, op4_suffix_dedup, op5_toxicity, op6_secret_scan, op7_ann, op9_simhash, op10_decontaminate)
 }
 
 SQL: dict[str, str] = {}
