@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import ALNUM_WORDS, as_signed, gram_starts, list_array, rolling_hashes, text_slices, word_hashes, words_of
-from .repeats import NO_ID, prepared
-from .shared import Scratch, key_filter, load_filter, map_arrow, passes
+from .repeats import prepared
+from .shared import NO_ID, Scratch, key_filter, load_filter, map_arrow, passes, without
 
 SEED_WORDS = 4
 #: Alignment score from which a document counts as holding the item.
@@ -138,3 +138,9 @@ def report(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", tex
         ids.alias("item_ids"),
         F.coalesce("best_score", F.lit(0.0)).alias("best_score"),
     )
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, n: int = SEED_WORDS) -> DataFrame:
+    """docs without the rows that hold a test item."""
+    scored = matches(docs, benchmark, id_col=id_col, text_col=text_col, n=n)
+    return without(docs, scored.filter(F.col("score") >= threshold).select("did", "th"), id_col, text_col)

@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import as_signed, list_array, mix64, rolling_hashes
-from .repeats import NO_ID, digest, only, prepared
-from .shared import Scratch, components, key_filter, load_filter, map_arrow, passes
+from .repeats import digest, prepared
+from .shared import KEY, NO_ID, Scratch, components, key_filter, keyed, load_filter, map_arrow, passes, split_rows
 
 SHINGLE = 8
 SIMILARITY = 0.8
@@ -225,30 +225,46 @@ def removals(rows: DataFrame, scratch: Scratch, *, q: int = SHINGLE, similarity:
     return scratch.write(gone.groupBy("did", "th").agg(F.collect_set("pos").alias("gone")), "gone")
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", texts_too: bool = False, **options) -> DataFrame:
-    """doc_id, n_lines, n_removed, kept_sha256 of each row (th and kept, the text that stays, if asked for)."""
+def _without(text: str, gone: set[int]) -> str:
+    return "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone) if gone else text
+
+
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """doc_id, n_lines, n_removed, kept_sha256 of each row."""
     scratch = Scratch(docs.sparkSession, "lines")
     rows = prepared(docs, id_col, text_col)
     gone = removals(rows, scratch, **options)
-    some, none = only(rows, gone.select("did", "th"))
+    some, none = split_rows(rows, ("did", "th"), gone.select("did", "th"))
 
     def of_batch(batch: pa.RecordBatch):
         cut = batch.column(3) if batch.num_columns > 3 else None
-        out = {"doc_id": [], "n_lines": [], "n_removed": [], "kept_sha256": [], "th": batch.column(1).to_pylist(), "kept": []}
+        out = {"doc_id": [], "n_lines": [], "n_removed": [], "kept_sha256": []}
         for r in range(batch.num_rows):
-            lines = batch.column(2)[r].as_py().split("\n")
-            bad = set(cut[r].as_py() or ()) if cut is not None else ()
-            kept = "\n".join(x for i, x in enumerate(lines) if i not in bad) if bad else "\n".join(lines)
-            did = batch.column(0)[r].as_py()
+            text, did = batch.column(2)[r].as_py(), batch.column(0)[r].as_py()
+            bad = set(cut[r].as_py() or ()) if cut is not None else set()
             out["doc_id"].append(None if did == NO_ID else did)
-            out["n_lines"].append(len(lines))
+            out["n_lines"].append(text.count("\n") + 1)
             out["n_removed"].append(len(bad))
-            out["kept_sha256"].append(hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest())
-            out["kept"].append(kept if texts_too else None)
-        kinds = {"kept_sha256": pa.string(), "kept": pa.string()}
-        yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()], list(out))
+            out["kept_sha256"].append(hashlib.sha256(_without(text, bad).encode("utf-8", "surrogatepass")).hexdigest())
+        yield pa.RecordBatch.from_arrays([pa.array(v, pa.string() if k == "kept_sha256" else pa.int64()) for k, v in out.items()], list(out))
 
-    schema = "doc_id long, n_lines long, n_removed long, kept_sha256 string, th long, kept string"
+    schema = "doc_id long, n_lines long, n_removed long, kept_sha256 string"
     joined = some.join(gone, ["did", "th"], "left").select("did", "th", "text", "gone")
-    done = map_arrow(joined, of_batch, schema).union(map_arrow(none, of_batch, schema))
-    return done if texts_too else done.drop("th", "kept")
+    return map_arrow(joined, of_batch, schema).union(map_arrow(none, of_batch, schema))
+
+
+def clean(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = None, **options) -> DataFrame:
+    """docs with the texts that stay (a null text stays null), and with their lengths in chars_col if named."""
+    scratch = Scratch(docs.sparkSession, "lines")
+    gone = removals(prepared(docs, id_col, text_col), scratch, **options)
+    some, none = split_rows(keyed(docs, id_col, text_col), KEY, gone.select("did", "th"))
+    gone = gone.select(F.col("did").alias(KEY[0]), F.col("th").alias(KEY[1]), F.col("gone").alias("__loom_gone"))
+    joined = some.join(gone, list(KEY), "left").select(*docs.columns, "__loom_gone")
+    at = docs.columns.index(text_col)
+
+    def of_batch(batch: pa.RecordBatch):
+        texts = [t if t is None or not g else _without(t, set(g)) for t, g in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(texts, batch.schema.field(at).type) if i == at else batch.column(i) for i in range(batch.num_columns - 1)], batch.schema.names[:-1])
+
+    done = map_arrow(joined, of_batch, docs.schema).union(none.select(*docs.columns))
+    return done.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType)) if chars_col else done

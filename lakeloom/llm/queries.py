@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, license_scan, line_dedup, secret_scan, simhash, substring_dedup, suffix_dedup, toxicity
+from . import ann, decontaminate, license_scan, line_dedup, mixing, secret_scan, simhash, substring_dedup, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -35,7 +35,7 @@ def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     model = toxicity.train(docs, _table(spark, folder, "labels"))
-    return toxicity.score(docs.select("doc_id", "text"), model).drop("text")
+    return toxicity.score(docs, model)
 
 
 def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
@@ -50,13 +50,19 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.report(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    found = mixing.mix(_table(spark, folder, "documents").select("doc_id", "text"), _table(spark, folder, "labels"))
+    each = [F.get("p", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(mixing.DOMAINS)]
+    return found.select("doc_id", "n_tokens", *each, "rate")
+
+
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.cluster(_table(spark, folder, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_line_dedup, op3_substring_dedup, op4_suffix_dedup, op5_toxicity, op6_secret_scan, op7_ann, op9_simhash, op10_decontaminate)
+    f.__name__: f for f in (op1_license_scan, op2_line_dedup, op3_substring_dedup, op4_suffix_dedup, op5_toxicity, op6_secret_scan, op7_ann, op8_mixing, op9_simhash, op10_decontaminate)
 }
 
 SQL: dict[str, str] = {}

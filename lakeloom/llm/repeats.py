@@ -18,9 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import BYTE_VALUES, SPACED_WORDS, as_signed, rolling_hashes, sliding_min, text_slices, word_hashes, words_of
-from .shared import Scratch, key_filter, load_filter, map_arrow, passes
+from .shared import NO_ID, Scratch, key_filter, load_filter, map_arrow, passes, split_rows
 
-NO_ID = -(1 << 63)
 #: Units hashed at once; a longer document is taken in parts that overlap by a window.
 PART = 1 << 20
 
@@ -125,25 +124,11 @@ def placements(rows: DataFrame, shared: DataFrame, units: Units, scratch: Scratc
     return scratch.write(found.join(shared, "fp", "left_semi"), "placed")
 
 
-def only(rows: DataFrame, wanted: DataFrame, keep: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Rows (did, th, text) whose key may be among those of `wanted` (did, th), and the rest, by a filter of fixed size."""
-    held = key_filter(wanted.select(F.xxhash64("did", "th").alias("k")), "k")
-
-    def side(want: bool):
-        def of_batch(batch: pa.RecordBatch):
-            hit = passes(np.asarray(batch.column(3)), load_filter(held))
-            yield batch.filter(pa.array(hit == want)).select(["did", "th", "text"])
-
-        return map_arrow(rows.select("did", "th", "text", F.xxhash64("did", "th").alias("k")), of_batch, "did long, th long, text string")
-
-    return side(True), side(False)
-
-
 def contents(rows: DataFrame, reps: DataFrame, units: Units, scratch: Scratch) -> DataFrame:
     """reps (did, th, s, n, and more) with column content: the bytes of the stretch, and cuts: the first byte of each of its units."""
     more = [c for c in reps.columns if c not in ("did", "th")]
     per_doc = reps.groupBy("did", "th").agg(F.collect_list(F.struct(*more)).alias("items"))
-    texts, _ = only(rows, reps.select("did", "th"))
+    texts, _ = split_rows(rows, ("did", "th"), reps.select("did", "th"))
     texts = texts.dropDuplicates(["did", "th"])
 
     def of_batch(batch: pa.RecordBatch):
@@ -219,7 +204,7 @@ def finish(rows: DataFrame, spans: DataFrame, units: Units, texts_too: bool = Fa
     Rows without spans never leave their task. Exact repetitions of a row share its spans.
     """
     per_doc = spans.groupBy("did", "th").agg(F.collect_list(F.struct("b0", "b1")).alias("spans"))
-    some, none = only(rows, per_doc.select("did", "th"))
+    some, none = split_rows(rows, ("did", "th"), per_doc.select("did", "th"))
 
     def of_batch(batch: pa.RecordBatch):
         lists = batch.column(3) if batch.num_columns > 3 else None

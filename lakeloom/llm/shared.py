@@ -89,6 +89,44 @@ def load_filter(broadcast) -> np.ndarray:
     return np.frombuffer(broadcast.value, np.uint64)
 
 
+#: Names of the key columns beside a table's own columns.
+KEY = ("__loom_did", "__loom_th")
+NO_ID = -(1 << 63)
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with KEY: the id (NO_ID for null) and a hash of the text, which name a row and its exact repetitions."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.withColumns({KEY[0]: F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), KEY[1]: F.xxhash64(text)})
+
+
+def split_rows(df: DataFrame, columns: tuple[str, str], wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose key may be among those of `wanted` (two columns), and those whose key is surely not, all columns kept.
+
+    The filter has a fixed size, so only rows that a join is to change are shuffled by it.
+    """
+    held = key_filter(wanted.select(F.xxhash64(*wanted.columns[:2]).alias("k")), "k")
+    marked = df.withColumn("__loom_k", F.xxhash64(*columns))
+
+    def side(want: bool):
+        def of_batch(batch: pa.RecordBatch):
+            hit = passes(np.asarray(batch.column(batch.num_columns - 1)), load_filter(held))
+            kept = batch.filter(pa.array(hit == want))
+            yield kept.select(list(range(batch.num_columns - 1)))
+
+        return map_arrow(marked, of_batch, df.schema)
+
+    return side(True), side(False)
+
+
+def without(docs: DataFrame, bad: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs without the rows whose key is in bad (did, th)."""
+    rows = keyed(docs, id_col, text_col)
+    some, none = split_rows(rows, KEY, bad)
+    bad = bad.select(F.col(bad.columns[0]).alias(KEY[0]), F.col(bad.columns[1]).alias(KEY[1])).distinct()
+    return some.join(bad, list(KEY), "left_anti").select(none.columns).union(none).drop(*KEY)
+
+
 def components(edges: DataFrame, scratch: Scratch, rounds: int = 40) -> DataFrame:
     """Connected components of edges (a, b) of any sortable type: (node, root), root the smallest reachable node.
 
@@ -117,7 +155,7 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 40) -> DataFram
     return e2.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root").union(e2.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def map_arrow(df: DataFrame, func: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, func: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """mapInArrow with a function of one batch."""
 
     def run(batches):

@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import as_signed
-from .shared import Scratch, components, map_arrow
+from .repeats import prepared
+from .shared import KEY, NO_ID, Scratch, components, keyed, map_arrow, split_rows
 
 SHINGLE_WORDS = 3
 RADIUS = 2
@@ -56,14 +57,14 @@ def fingerprint(data: bytes | None, words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(total * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id and fp (bigint holding the 64 bits) of each row."""
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
+    """did (NO_ID for a null id), th (hash of the text) and fp (bigint holding the 64 bits) of each row."""
 
     def of_batch(batch: pa.RecordBatch):
-        fps = np.array([fingerprint(t.as_py(), words) for t in batch.column(1).cast(pa.binary())], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(as_signed(fps))], ["doc_id", "fp"])
+        fps = np.array([fingerprint(t.as_py(), words) for t in batch.column(2).cast(pa.binary())], np.uint64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(as_signed(fps))], ["did", "th", "fp"])
 
-    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), of_batch, "doc_id long, fp long")
+    return map_arrow(prepared(docs, id_col, text_col), of_batch, "did long, th long, fp long")
 
 
 def _hook(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -148,13 +149,32 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return dealt.mapInArrow(_compare(radius), "a long, b long")
 
 
+def groups(fps: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
+    """fp, root (smallest fingerprint of its component), component_id (smallest id of it) of the different fingerprints."""
+    named = F.when(F.col("did") != NO_ID, F.col("did"))
+    distinct = scratch.write(fps.groupBy("fp").agg(F.min(named).alias("first_id")), "distinct")
+    roots = components(links(distinct, radius), scratch).select(F.col("node").alias("fp"), "root")
+    known = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    ids = known.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return scratch.write(known.join(ids, "root").select("fp", "root", "component_id"), "named")
+
+
 def cluster(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp, component_id (smallest reachable doc_id) of each row."""
     scratch = Scratch(docs.sparkSession, "simhash")
     fps = scratch.write(fingerprints(docs, id_col=id_col, text_col=text_col, words=words), "fps")
-    distinct = scratch.write(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    roots = components(links(distinct, radius), scratch).select(F.col("node").alias("fp"), "root")
-    known = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = known.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = scratch.write(known.join(ids, "root").select("fp", "component_id"), "named")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(groups(fps, radius, scratch), "fp").select(F.when(F.col("did") != NO_ID, F.col("did")).alias("doc_id"), "fp", "component_id")
+
+
+def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
+    """docs with one row of each component: that with the smallest id that is not null, of several the smallest text hash."""
+    scratch = Scratch(docs.sparkSession, "simhash")
+    fps = scratch.write(fingerprints(docs, id_col=id_col, text_col=text_col, words=words), "fps")
+    member = fps.groupBy("did", "th").agg(F.min("fp").alias("fp"), F.count("*").alias("n")).join(groups(fps, radius, scratch).select("fp", "root"), "fp")
+    order = F.struct((F.col("did") == NO_ID).alias("unnamed"), "did", "th")
+    first = member.groupBy("root").agg(F.min(order).alias("first"))
+    state = member.join(first, "root").select("did", "th", "n", (order == F.col("first")).alias("stays"))
+    touched = scratch.write(state.filter("not stays or n > 1").select(F.col("did").alias(KEY[0]), F.col("th").alias(KEY[1]), F.col("stays").alias("__loom_stays")), "touched")
+    some, none = split_rows(keyed(docs, id_col, text_col), KEY, touched)
+    kept = some.join(touched, list(KEY), "left").filter(F.coalesce("__loom_stays", F.lit(True))).dropDuplicates(list(KEY))
+    return kept.select(*docs.columns).union(none.select(*docs.columns))

@@ -151,22 +151,34 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     return Model(index, w, theta)
 
 
+def _exceeding(model: Model, texts: pa.Array) -> np.ndarray:
+    logits = [np.bincount(row, model.weights[feat] * np.log1p(count), hi - lo) for lo, hi, row, feat, count in counted(texts, model.index)]
+    return model.exceed(np.concatenate(logits))
+
+
 def score(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of docs with severity (expected grade), grade (likeliest by thresholds), p_toxic and toxic for each row."""
-    added = "severity double, grade int, p_toxic double, toxic int"
+    """doc_id, severity (expected grade), grade (thresholds likelier exceeded than not), p_toxic, toxic (p_toxic of a half or more) of each row."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if model is None:
-        return docs.withColumns({"severity": F.lit(0.0), "grade": F.lit(0), "p_toxic": F.lit(0.0), "toxic": F.lit(0)})
+        return rows.select("doc_id", F.lit(0.0).alias("severity"), F.lit(0).alias("grade"), F.lit(0.0).alias("p_toxic"), F.lit(0).alias("toxic"))
     held = docs.sparkSession.sparkContext.broadcast(model)  # 2**FEATURE_BITS + KEPT numbers
-    at = docs.columns.index(text_col)
 
     def of_batch(batch: pa.RecordBatch):
-        m = held.value
-        logits = []
-        for lo, hi, row, feat, count in counted(batch.column(at), m.index):
-            logits.append(np.bincount(row, m.weights[feat] * np.log1p(count), hi - lo))
-        over = m.exceed(np.concatenate(logits))
+        over = _exceeding(held.value, batch.column(1))
         more = [pa.array(over.sum(axis=1)), pa.array((over >= 0.5).sum(axis=1).astype(np.int32)), pa.array(over[:, 0]), pa.array((over[:, 0] >= 0.5).astype(np.int32))]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "severity", "grade", "p_toxic", "toxic"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *more], ["doc_id", "severity", "grade", "p_toxic", "toxic"])
+
+    return map_arrow(rows, of_batch, "doc_id long, severity double, grade int, p_toxic double, toxic int")
+
+
+def clean(docs: DataFrame, model: Model | None, *, text_col: str = "text") -> DataFrame:
+    """docs without the rows that score() calls toxic."""
+    if model is None:
+        return docs
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def of_batch(batch: pa.RecordBatch):
+        yield batch.filter(pa.array(_exceeding(held.value, batch.column(at))[:, 0] < 0.5))
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return map_arrow(docs, of_batch, f"{kept}, {added}")
+    return map_arrow(docs, of_batch, docs.schema)
