@@ -1 +1 @@
-
+"""DataFrame to DataFrame operators over document corpora."""

@@ -1,4 +1,6 @@
 """The queries of the engine, with the SQL that gives the same rows."""
 
-QUERIES = {}
-SQL = {}
+from . import quality  # noqa: F401
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
