@@ -234,7 +234,6 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **
     scratch = Scratch(docs.sparkSession, "lines")
     rows = prepared(docs, id_col, text_col)
     gone = removals(rows, scratch, **options)
-    some, none = split_rows(rows, ("did", "th"), gone.select("did", "th"))
 
     def of_batch(batch: pa.RecordBatch):
         cut = batch.column(3) if batch.num_columns > 3 else None
@@ -249,8 +248,9 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **
         yield pa.RecordBatch.from_arrays([pa.array(v, pa.string() if k == "kept_sha256" else pa.int64()) for k, v in out.items()], list(out))
 
     schema = "doc_id long, n_lines long, n_removed long, kept_sha256 string"
+    some, done = split_rows(rows, ("did", "th"), gone.select("did", "th"), of_batch, schema)
     joined = some.join(gone, ["did", "th"], "left").select("did", "th", "text", "gone")
-    return map_arrow(joined, of_batch, schema).union(map_arrow(none, of_batch, schema))
+    return map_arrow(joined, of_batch, schema).union(done)
 
 
 def clean(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = None, **options) -> DataFrame:

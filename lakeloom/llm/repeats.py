@@ -204,7 +204,6 @@ def finish(rows: DataFrame, spans: DataFrame, units: Units, texts_too: bool = Fa
     Rows without spans never leave their task. Exact repetitions of a row share its spans.
     """
     per_doc = spans.groupBy("did", "th").agg(F.collect_list(F.struct("b0", "b1")).alias("spans"))
-    some, none = split_rows(rows, ("did", "th"), per_doc.select("did", "th"))
 
     def of_batch(batch: pa.RecordBatch):
         lists = batch.column(3) if batch.num_columns > 3 else None
@@ -233,6 +232,7 @@ def finish(rows: DataFrame, spans: DataFrame, units: Units, texts_too: bool = Fa
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_units", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     schema = "doc_id long, n_units long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    some, done = split_rows(rows, ("did", "th"), per_doc.select("did", "th"), of_batch, schema)
     joined = some.join(per_doc, ["did", "th"], "left").select("did", "th", "text", "spans")
-    done = map_arrow(joined, of_batch, schema).union(map_arrow(none, of_batch, schema))
+    done = map_arrow(joined, of_batch, schema).union(done)
     return done if texts_too else done.drop("kept")

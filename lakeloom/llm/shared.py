@@ -32,6 +32,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{scratch_root(spark)}/lakeloom-{name}-{uuid.uuid4().hex[:12]}"
         self.count = 0
+        small_batches(spark)
 
     def write(self, df: DataFrame, name: str = "t") -> DataFrame:
         self.count += 1
@@ -100,10 +101,11 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.withColumns({KEY[0]: F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), KEY[1]: F.xxhash64(text)})
 
 
-def split_rows(df: DataFrame, columns: tuple[str, str], wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+def split_rows(df: DataFrame, columns: tuple[str, str], wanted: DataFrame, then=None, schema=None) -> tuple[DataFrame, DataFrame]:
     """Rows whose key may be among those of `wanted` (two columns), and those whose key is surely not, all columns kept.
 
-    The filter has a fixed size, so only rows that a join is to change are shuffled by it.
+    The filter has a fixed size, so only rows that a join is to change are shuffled by it. `then` maps the batches of the
+    second kind to `schema` in the same pass.
     """
     held = key_filter(wanted.select(F.xxhash64(*wanted.columns[:2]).alias("k")), "k")
     marked = df.withColumn("__loom_k", F.xxhash64(*columns))
@@ -111,10 +113,13 @@ def split_rows(df: DataFrame, columns: tuple[str, str], wanted: DataFrame) -> tu
     def side(want: bool):
         def of_batch(batch: pa.RecordBatch):
             hit = passes(np.asarray(batch.column(batch.num_columns - 1)), load_filter(held))
-            kept = batch.filter(pa.array(hit == want))
-            yield kept.select(list(range(batch.num_columns - 1)))
+            kept = batch.filter(pa.array(hit == want)).select(list(range(batch.num_columns - 1)))
+            if want or then is None:
+                yield kept
+            elif kept.num_rows:
+                yield from then(kept)
 
-        return map_arrow(marked, of_batch, df.schema)
+        return map_arrow(marked, of_batch, df.schema if want or then is None else schema)
 
     return side(True), side(False)
 
@@ -155,6 +160,17 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 40) -> DataFram
     return e2.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root").union(e2.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+#: Rows and bytes of an Arrow batch where the session leaves Spark's defaults: texts are long rows, and a worker, its JVM
+#: buffers and the copies in between each hold a batch or two.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4194304b")}
+
+
+def small_batches(spark: SparkSession) -> None:
+    for key, (default, value) in BATCH.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, value)
+
+
 def map_arrow(df: DataFrame, func: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """mapInArrow with a function of one batch."""
 
@@ -163,4 +179,5 @@ def map_arrow(df: DataFrame, func: Callable[[pa.RecordBatch], Iterator[pa.Record
             if b.num_rows:
                 yield from func(b)
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
