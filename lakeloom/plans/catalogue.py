@@ -1,6 +1,6 @@
 """The queries of the engine, with the SQL that gives the same rows."""
 
-from . import quality  # noqa: F401
+from . import quality, search, structure  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
