@@ -143,7 +143,7 @@ def html_text(c: Column | str) -> Column:
     out = F.regexp_replace(F.coalesce(col(c), F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>", "")
     out = F.regexp_replace(out, r"(?i)<br\s*/?>|</(?:p|div|h[1-6]|li|tr)\s*>", "\n")
     out = unescape(F.regexp_replace(out, r"(?s)<[^>]*>", ""))
-    kept = F.filter(F.transform(F.split(out, "\n"), collapse), lambda x: x != "")
+    kept = F.filter(F.transform(F.split(out, "\n"), lambda x: collapse(x)), lambda x: x != "")
     return F.array_join(kept, "\n")
 
 
@@ -160,9 +160,8 @@ def comment_safe(c: Column | str) -> Column:
 def bigrams(c: Column | str) -> Column:
     """Different character pairs of the compacted lower-case text; a single character is its own."""
     t = F.lower(compact(c))
-    n = F.length(t)
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(2)))
-    return F.when(n > 0, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
+    pairs = F.regexp_extract_all(t, F.lit("(?s)(?=(..))"), 1)
+    return F.array_distinct(F.when(F.size(pairs) > 0, pairs).otherwise(F.filter(F.array(t), lambda x: x != "")))
 
 
 def bigram_coverage(source: Column | str, candidate: Column | str) -> Column:

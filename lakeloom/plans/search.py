@@ -56,7 +56,7 @@ def search_snippets(spark, folder):
     return found.select("doc_id", search.snippet(F.col("text"), "license").alias("snippet"))
 
 
-@query(f"SELECT term, count(DISTINCT doc_id) AS documents, count(*) AS occurrences FROM (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents) GROUP BY term HAVING count(DISTINCT doc_id) >= 20")
+@query(f"SELECT term, count(DISTINCT doc_id) AS documents, count(*) AS occurrences FROM (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents) GROUP BY term")
 def search_postings(spark, folder):
     index = search.postings(table(spark, folder, "documents"))
-    return index.groupBy("term").agg(F.count("*").alias("documents"), F.sum("tf").alias("occurrences")).filter("documents >= 20")
+    return index.groupBy("term").agg(F.count("*").alias("documents"), F.sum("tf").alias("occurrences"))
