@@ -68,14 +68,18 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 
 def _hook(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Gives linked items one label, the smallest, in place."""
+    """Gives the groups of linked items one label, the smallest, in place; labels point to items with smaller or their own."""
     while True:
-        low = np.minimum(labels[a], labels[b])
-        if (labels[a] == low).all() and (labels[b] == low).all():
+        x, y = labels[a], labels[b]
+        apart = x != y
+        if not apart.any():
             return
-        np.minimum.at(labels, a, low)
-        np.minimum.at(labels, b, low)
-        labels[:] = labels[labels]
+        x, y = x[apart], y[apart]
+        low = np.minimum(x, y)
+        np.minimum.at(labels, x, low)
+        np.minimum.at(labels, y, low)
+        while (labels[labels] != labels).any():
+            labels[:] = labels[labels]
 
 
 def tile_forest(fps: np.ndarray, radius: int, tile: int = TILE) -> np.ndarray:
