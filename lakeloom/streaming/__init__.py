@@ -1 +1,41 @@
+"""Structured Streaming: incremental scoring of arriving documents, job states, windowed rates, resume by content."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import quality
+
+DOCUMENT = "doc_id long, text string, lang string, source string, n_chars long"
+EVENT = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+
+
+def score_arriving(spark: SparkSession, inbox: str, outbox: str, checkpoint: str):
+    """Scores the Parquet documents that arrive in a folder into another; the checkpoint makes it resume exactly there."""
+    docs = spark.readStream.schema(DOCUMENT).parquet(inbox)
+    scored = quality.scored(docs).select("doc_id", "characters", "headings", "score", "level")
+    return scored.writeStream.format("parquet").option("path", outbox).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def new_documents(docs: DataFrame, seen_for: str = "1 day", time: str = "arrived") -> DataFrame:
+    """Streamed documents whose text has not come within the watermark; its state is bounded by the watermark."""
+    return docs.withColumn("sha256", F.sha2(F.col("text"), 256)).withWatermark(time, seen_for).dropDuplicatesWithinWatermark(["sha256"])
+
+
+def rates(events: DataFrame, late: str = "10 minutes", window: str = "1 hour") -> DataFrame:
+    """Windowed counts and failure shares of streamed events; later events than the watermark are dropped."""
+    timed = events.withWatermark("ts", late).groupBy(F.window("ts", window), "event_type")
+    return timed.agg(F.count("*").alias("events"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "events", "total")
+
+
+def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
+    timed = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id")
+    return timed.agg(F.count("*").alias("events")).select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "events")
+
+
+def job_states(spark: SparkSession, inbox: str, table: str, checkpoint: str):
+    """Keeps the latest state of each job in a memory table, rewritten for each micro-batch."""
+    events = spark.readStream.schema(EVENT).parquet(inbox)
+    state = events.groupBy("user_id").agg(F.count("*").alias("events"), F.max_by("event_type", F.struct("ts", "event_id")).alias("status"))
+    return state.writeStream.outputMode("complete").format("memory").queryName(table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
