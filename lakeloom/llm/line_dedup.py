@@ -1,6 +1,6 @@
 """Fuzzy line dedup: MinHash of character shingles, banding, exact Jaccard verification, distributed union-find.
 
-A line is compared in its normal form: A-Z lower-cased, white space as single spaces, none at the ends. Blank lines are always
+A line is compared in its normal form: A-Z lower-cased, ASCII white space as single spaces, none at the ends. Blank lines are always
 kept. Of each line the MinHash signature over its character shingles is cut into bands; lines that agree on a whole band are
 candidates. Recall of a pair of similarity s is 1 - (1 - s^ROWS)^BANDS: 0.986 at 0.8, 0.9998 at 0.9, 1 for equal lines.
 Bands shared by different lines are found first, from keys alone; only lines in them bring their text. Candidates are
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import as_signed, list_array, mix64, rolling_hashes
-from .repeats import digest, prepared
+from .repeats import prepared
 from .shared import KEY, NO_ID, Scratch, components, key_filter, keyed, load_filter, map_arrow, passes, split_rows
 
 SHINGLE = 8
@@ -32,11 +32,13 @@ BANDS, ROWS = 8, 4
 TILE = 2048
 #: Characters whose shingles are hashed at once.
 PART = 1 << 18
-_LOWER = {i: i + 32 for i in range(65, 91)}
+#: Shingles of a line whose minimum is taken at once.
+STEP = 16
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def normal(line: str) -> str:
-    return " ".join(line.translate(_LOWER).split())
+    return b" ".join(line.encode("utf-8", "surrogatepass").translate(_LOWER).split()).decode("utf-8", "replace")
 
 
 def shingles(line: str, q: int = SHINGLE) -> frozenset[str]:
@@ -59,7 +61,7 @@ def signatures(lines: list[str], q: int, count: int) -> np.ndarray:
         group = [x if len(x) >= q else x + "\0" * (q - len(x)) for x in lines[i:j]]
         points = np.frombuffer("".join(group).encode("utf-32-le", "surrogatepass"), np.uint32)
         ends = np.cumsum([len(x) for x in group])
-        grams = rolling_hashes(mix64(points.astype(np.uint64) + np.uint64(77)), q)
+        grams = rolling_hashes((points.astype(np.uint64) + np.uint64(77)) * np.uint64(0xD6E8FEB86659FD93), q)
         keep = np.ones(len(grams), bool)
         for k in range(1, q):  # shingles across two lines
             at = ends[:-1] - k
@@ -67,8 +69,18 @@ def signatures(lines: list[str], q: int, count: int) -> np.ndarray:
         grams = (grams[keep] >> np.uint64(32)).astype(np.uint32)
         sizes = np.array([len(x) - q + 1 for x in group])
         begins = np.r_[0, np.cumsum(sizes)[:-1]]
+        # blocks of STEP shingles of one line side by side (the last one repeated), so that minima are taken across rows
+        blocks = -(-sizes // STEP)
+        first = np.r_[0, np.cumsum(blocks)[:-1]]
+        nth = (np.arange(int(blocks.sum())) - np.repeat(first, blocks)) * STEP
+        most = np.repeat(sizes - 1, blocks)
+        spots = np.minimum(nth[None, :] + np.arange(STEP)[:, None], most[None, :]) + np.repeat(begins, blocks)[None, :]
+        table = grams[spots]
+        work = np.empty_like(table)
         for k in range(count):
-            out[i:j, k] = np.minimum.reduceat((grams ^ _OFFSETS[k]) * _FACTORS[k], begins)
+            np.bitwise_xor(table, _OFFSETS[k], out=work)
+            np.multiply(work, _FACTORS[k], out=work)
+            out[i:j, k] = np.minimum.reduceat(np.minimum.reduce(work, axis=0), first)
         i = j
     return out
 
@@ -84,19 +96,23 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return keys
 
 
-def _lines(text: str):
-    """(position, normal form) of the lines that are not blank."""
-    for pos, line in enumerate(text.split("\n")):
-        form = normal(line)
+def _lines(data: bytes):
+    """(position, normal form) of the lines that are not blank, of a text in UTF-8."""
+    for pos, line in enumerate(data.translate(_LOWER).split(b"\n")):
+        form = b" ".join(line.split())
         if form:
             yield pos, form
 
 
+def _key(form: bytes) -> bytes:
+    return xxhash.xxh3_128_digest(form)
+
+
 def _occurrences(rows: DataFrame, q: int, bands: int, band_rows: int) -> DataFrame:
     """did, th, pos, lk (digest of the normal form) of each line, and bands where a batch meets the line first."""
 
     def of_batch(batch: pa.RecordBatch):
-        texts = batch.column(2)
+        texts = batch.column(2).cast(pa.binary())
         row, pos, keys, new, forms = [], [], [], [], []
         seen: set[bytes] = set()
 
@@ -110,11 +126,11 @@ def _occurrences(rows: DataFrame, q: int, bands: int, band_rows: int) -> DataFra
         size = 0
         for r in range(batch.num_rows):
             for p, form in _lines(texts[r].as_py()):
-                key = digest(form.encode("utf-8", "surrogatepass"))
+                key = _key(form)
                 if key not in seen:
                     seen.add(key)
                     new.append(len(row))
-                    forms.append(form)
+                    forms.append(form.decode("utf-8", "replace"))
                     size += len(form)
                 row.append(r)
                 pos.append(p)
@@ -136,9 +152,9 @@ def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
         table = load_filter(held)
         seen: set[bytes] = set()
         keys, forms = [], []
-        for t in batch.column(0):
+        for t in batch.column(0).cast(pa.binary()):
             for _, form in _lines(t.as_py()):
-                key = digest(form.encode("utf-8", "surrogatepass"))
+                key = _key(form)
                 if key not in seen:
                     seen.add(key)
                     keys.append(key)
@@ -148,45 +164,69 @@ def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
             at = np.flatnonzero(hit).tolist()
             for i in range(0, len(at), 20_000):
                 part = at[i : i + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array([keys[j] for j in part], pa.binary()), pa.array([forms[j] for j in part], pa.string())], ["lk", "form"])
+                yield pa.RecordBatch.from_arrays([pa.array([keys[j] for j in part], pa.binary()), pa.array([forms[j].decode("utf-8", "replace") for j in part], pa.string())], ["lk", "form"])
 
     return map_arrow(rows.select("text"), of_batch, "lk binary, form string").dropDuplicates(["lk"])
 
 
+def forest(keys: list[bytes], forms: list[str], sides: list[int], q: int, similarity: float) -> list[tuple[bytes, bytes]]:
+    """Links that connect the similar lines of a tile pair, across the sides if there are two; a spanning forest."""
+    sets = [shingles(f, q) for f in forms]
+    order = sorted(range(len(keys)), key=lambda i: (len(sets[i]), keys[i], sides[i]))
+    nodes: dict[bytes, int] = {}  # a line that stands on both sides is one node
+    root = [nodes.setdefault(k, i) for i, k in enumerate(keys)]
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    across = len(set(sides)) > 1
+    out = []
+    for at, i in enumerate(order):
+        a = sets[i]
+        for j in reversed(order[:at]):
+            b = sets[j]
+            if len(b) < similarity * len(a):
+                break  # the others are no larger
+            if (across and sides[i] == sides[j]) or find(i) == find(j):
+                continue
+            common = len(a & b)
+            if common >= similarity * (len(a) + len(b) - common):
+                root[find(i)] = find(j)
+                out.append((keys[i], keys[j]))
+    return out
+
+
 def _verify(q: int, similarity: float):
-    """Rows of tile pairs -> links (a, b) between similar lines, a spanning forest of each pair."""
-
-    def of_group(table: pa.Table) -> pa.Table:
-        keys, forms, sides = (table.column(c).to_pylist() for c in ("lk", "form", "side"))
-        sets = [shingles(f, q) for f in forms]
-        order = sorted(range(len(keys)), key=lambda i: (len(sets[i]), keys[i], sides[i]))
-        nodes: dict[bytes, int] = {}  # a line that stands on both sides is one node
-        root = [nodes.setdefault(k, i) for i, k in enumerate(keys)]
-
-        def find(x):
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        across = len(set(sides)) > 1
-        out = [[], []]
-        for at, i in enumerate(order):
-            a = sets[i]
-            for j in reversed(order[:at]):
-                b = sets[j]
-                if len(b) < similarity * len(a):
-                    break  # the others are no larger
-                if (across and sides[i] == sides[j]) or find(i) == find(j):
-                    continue
-                common = len(a & b)
-                if common >= similarity * (len(a) + len(b) - common):
-                    root[find(i)] = find(j)
-                    out[0].append(keys[i])
-                    out[1].append(keys[j])
-        return pa.table({"a": pa.array(out[0], pa.binary()), "b": pa.array(out[1], pa.binary())})
-
-    return of_group
+    """Rows (band, t0, t1, lk, side, form) in the order of the first three -> links (a, b), pair of tiles by pair."""
+
+    def run(batches):
+        held, last = [[], [], []], None
+        out: list[tuple[bytes, bytes]] = []
+
+        def flushed():
+            pairs, out[:] = out[:], []
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.binary()), pa.array([y for _, y in pairs], pa.binary())], ["a", "b"])
+
+        for batch in batches:
+            rows = [batch.column(i).to_pylist() for i in range(6)]
+            for band, t0, t1, *row in zip(*rows, strict=True):
+                if (band, t0, t1) != last:
+                    if len(held[0]) > 1:
+                        out += forest(held[0], held[2], held[1], q, similarity)
+                    held, last = [[], [], []], (band, t0, t1)
+                for column, x in zip(held, row, strict=True):
+                    column.append(x)
+            if len(out) > 10_000:
+                yield flushed()
+        if len(held[0]) > 1:
+            out += forest(held[0], held[2], held[1], q, similarity)
+        if out:
+            yield flushed()
+
+    return run
 
 
 def links(lines: DataFrame, rows: DataFrame, scratch: Scratch, *, q: int = SHINGLE, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
@@ -211,7 +251,8 @@ def links(lines: DataFrame, rows: DataFrame, scratch: Scratch, *, q: int = SHING
     dealt = members.select("lk", "band", mine.alias("t"), tiles.alias("tiles")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     dealt = dealt.select("lk", "band", F.least("t", "o").alias("t0"), F.greatest("t", "o").alias("t1"), F.when(F.col("t") <= F.col("o"), 0).otherwise(1).alias("side"))
     texts = _texts(rows, members.select("lk").distinct())
-    return dealt.join(texts, "lk").groupBy("band", "t0", "t1").applyInArrow(_verify(q, similarity), "a binary, b binary").distinct()
+    rows = dealt.join(texts, "lk").select("band", "t0", "t1", "lk", "side", "form").repartition("band", "t0", "t1").sortWithinPartitions("band", "t0", "t1")
+    return rows.mapInArrow(_verify(q, similarity), "a binary, b binary").distinct()
 
 
 def removals(rows: DataFrame, scratch: Scratch, *, q: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, band_rows: int = ROWS, tile: int = TILE) -> DataFrame:

@@ -123,7 +123,7 @@ def similar_lines(forms, q=8, similarity=0.8):
 
 def fuzzy_lines(docs, q=8, similarity=0.8):
     """docs: (doc_id, text), ids different -> list of (doc_id, n_lines, n_removed, kept_sha256)."""
-    form = lambda line: " ".join(line.translate(LOWER).split())
+    form = lambda line: " ".join(re.findall(r"[^\x20\x09-\x0D]+", line.translate(LOWER)))
     split = [(i, (t or "").split("\n")) for i, t in sorted(docs)]
     root = similar_lines([form(x) for _, ls in split for x in ls if form(x)], q, similarity)
     seen, out = set(), []
