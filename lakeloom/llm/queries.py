@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, license_scan, line_dedup, mixing, secret_scan, simhash, substring_dedup, suffix_dedup, toxicity
+from . import ann, decontaminate, license_scan, line_dedup, mixing, secret_scan, simhash, sql, substring_dedup, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -65,4 +65,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_license_scan, op2_line_dedup, op3_substring_dedup, op4_suffix_dedup, op5_toxicity, op6_secret_scan, op7_ann, op8_mixing, op9_simhash, op10_decontaminate)
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_license_scan": sql.license_scan(), "op3_substring_dedup": sql.substring_dedup()}
