@@ -140,6 +140,8 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 40) -> DataFram
     edge to another node are absent. The edges of each round are a written table, so lineage stays short.
     """
     e = scratch.write(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
+    if e.isEmpty():
+        return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     last = None
     for _ in range(rounds):
         # large-star: each larger neighbour links to the smallest of the closed neighbourhood
