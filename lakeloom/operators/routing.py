@@ -41,12 +41,6 @@ def cost_risk(pages: Column) -> Column:
     return F.when(pages >= 100, "high").when(pages >= 20, "medium").otherwise("low")
 
 
-def lifecycle(reasons: Column) -> Column:
-    """State of a review from its reasons; the gravest wins."""
-    has = lambda x: F.array_contains(reasons, x)
-    return F.when(has("failed_jobs"), "blocked").when(has("poor_quality"), "needs_rerun").when(F.size(reasons) > 0, "needs_review").otherwise("ready")
-
-
 def sample_pages(page_count: Column, wanted: int) -> Column:
     """Ascending indexes of the pages to sample: the first two, the last and an even stride between."""
     stride = F.greatest(F.floor(page_count / wanted), F.lit(1)).cast("int")

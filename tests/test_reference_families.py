@@ -7,7 +7,7 @@ import pytest
 from lakeloom import sources, streaming
 from lakeloom.functions import headings as H
 from lakeloom.functions import text as T
-from lakeloom.operators import chat, compare, events, pages, quality, routing, search, structure, web
+from lakeloom.operators import chat, compare, events, governance, pages, quality, routing, search, structure, web
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
@@ -144,6 +144,31 @@ def test_routing(spark):
     assert {r.source: (r.match_ratio, r.status) for r in routing.outline_alignment(o, h).collect()} == {"a": (1.0, "ok"), "b": (0.0, "no_markdown_headings")}
 
 
+def test_governance(spark):
+    v = lambda c: value(spark, c)
+    lits = lambda *x: F.array(*map(F.lit, x)) if x else F.array().cast("array<string>")
+    assert v(governance.lifecycle_state(lits("review_jobs", "hard_failed_jobs"))) == "failed" and v(governance.lifecycle_state(lits())) == "ready_for_archive"
+    assert v(governance.followup(F.lit("failed"))) == "inspect_failure_and_rerun_safely"
+    types = {"a/chat.md": "chat_markdown", "x.md": "markdown", "run/review-checklist.json": "review_json", "p.jsonl": "pages_jsonl", "z": "artifact", "q.TSV": "tsv"}
+    assert {k: v(governance.artifact_type(F.lit(k))) for k in types} == types
+    checks = spark.createDataFrame([("a", "missing"), ("a", "ok"), ("b", "warning"), ("b", "needs_env"), ("c", "odd")], "backend string, status string")
+    assert {r.backend: r.status for r in governance.combined_status(checks).collect()} == {"a": "ok", "b": "degraded", "c": "missing"}
+    assert v(governance.recommendation_score(F.lit("ok"), F.lit("low"), F.lit("recommended"))) == 85 and v(governance.recommendation_score(F.lit("missing"), F.lit("heavy"), F.lit("explicit only"))) == 6
+    rows = spark.createDataFrame([("ok", "low", 0, 1), ("needs_env", "low", 1, 1), ("ok", "heavy", 1, 1), ("ok", "low", 1, 0), ("ok", "low", 1, 2)], "status string, cost string, evidence_count int, signals int")
+    assert [r.gate for r in governance.promotion(rows).collect()] == ["no_evidence", "environment_not_ready", "insufficient_evidence", "insufficient_quality_signals", "review_candidate"]
+    assert v(governance.representative_pages(F.lit(5))) == [1, 2, 3, 4, 5] and v(governance.representative_pages(F.lit(100))) == [1, 2, 25, 50, 75, 100] and v(governance.representative_pages(F.lit(0))) == []
+    report = "kind string, status string, exists boolean, characters int, lines int, level string, risks array<string>, complex boolean, table_ok boolean, ocr_ok boolean, image_ok boolean, layout_known boolean, assets int, missing_assets int"
+    base = ("ok", True, 900, 9, "good", [], False, False, False, False, False, 0, 0)
+    rows = [("office", *base), ("text_pdf", *base[:4], "review", ["heading_hierarchy_missing"], *base[6:]), ("scanned_pdf", "ok", True, 0, 0, "poor", ["empty_document"], *base[6:]), ("office", "failed", *base[1:])]
+    got = governance.with_fallback(governance.quality_stages(spark.createDataFrame(rows, report)), F.create_map(F.lit("local_ocr"), F.lit("ok"))).collect()
+    assert [r.route for r in got] == ["minimal-deliverable", "degraded", "fallback-proposed", "blocked"]
+    docs = spark.createDataFrame([('{"schema_version": "layout-candidates-v1", "pages": [{"blocks": []}]}',), ("{",), ('{"pages": 3}',), ('{"schema_version": "layout-candidates-v1", "pages": [{"blocks": "x"}]}',)], "payload string")
+    assert [r.errors for r in governance.validated(docs).collect()] == [[], ["not_json"], ["schema_version", "pages_not_a_list"], ["items_not_a_list"]]
+    cells = [("i", 0, 0), ("i", 0, 1), ("i", 1, 1), ("i", 3, 3), ("i", 4, 4), ("j", 2, 2)]
+    got = [tuple(r) for r in governance.visual_regions(spark.createDataFrame(cells, "image string, row int, col int")).orderBy("image", "n").collect()]
+    assert got == [("i", 1, 0, 0, 1, 1, 3), ("i", 2, 3, 3, 3, 3, 1), ("i", 3, 4, 4, 4, 4, 1), ("j", 1, 2, 2, 2, 2, 1)]
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "in/.hidden").mkdir(parents=True)
     (tmp_path / "in/b10.csv").write_bytes("a,b\n1,2,3\n".encode())
