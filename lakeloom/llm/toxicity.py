@@ -32,8 +32,8 @@ TOXIC_ROWS, CLEAN_ROWS = 6_000, 14_000
 KEPT, LEAST_Z = 4096, 4.0
 #: Shares of the toxic rows at which their grades part.
 TOXIC_CUTS = (1 / 3, 2 / 3)
-L2 = 1e-4
-STEPS = 500
+L2 = 2e-5
+STEPS = 1000
 
 
 @dataclass
