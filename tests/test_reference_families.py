@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 from lakeloom import sources, streaming
+from lakeloom.functions import cleanup
 from lakeloom.functions import headings as H
 from lakeloom.functions import text as T
 from lakeloom.operators import chat, compare, events, governance, pages, quality, routing, search, structure, web
@@ -169,6 +170,20 @@ def test_governance(spark):
     assert got == [("i", 1, 0, 0, 1, 1, 3), ("i", 2, 3, 3, 3, 3, 1), ("i", 3, 4, 4, 4, 4, 1), ("j", 1, 2, 2, 2, 2, 1)]
 
 
+def test_cleanup(spark):
+    v = lambda c: value(spark, c)
+    assert v(cleanup.footnote_references(F.lit("a [3] b [x]"))) == "a [^3] b [x]"
+    notes = F.create_map(F.lit(2), F.lit("two"), F.lit(1), F.lit("one"))
+    assert v(cleanup.with_footnotes(F.lit("text\n"), notes)) == "text\n\n## 注释\n\n[^1]: one\n[^2]: two\n"
+    assert v(cleanup.unwrapped(F.lit("a line that goes\non in another\n\n# head line here\nshort\nends with a stop！\nnew paragraph text"))) == "a line that goeson in another\n\n# head line here\nshort\nends with a stop！\nnew paragraph text"
+    assert v(cleanup.packed(F.lit("aaaa\n\nbb\n\ncccccc\n\n" + "d" * 23), 10)) == ["aaaa\n\nbb", "cccccc", "d" * 23]
+    assert v(cleanup.packed(F.lit("d" * 23), 10)) == ["d" * 10, "d" * 10, "ddd"]
+    assert v(cleanup.with_markers(F.lit("<!-- source-page: 1 -->\nx"), F.lit(" y"))) == "<!-- source-page: 1 -->\n\ny"
+    assert [tuple(c) for c in v(cleanup.image_cuts(F.lit(5000), 2200, 200))] == [(0, 2200), (2000, 4200), (4000, 5000)]
+    assert v(cleanup.polygon_box(F.array(F.array(F.lit(3.004), F.lit(1.0)), F.array(F.lit(1.0), F.lit(4.0))))) == [1.0, 1.0, 3.0, 4.0]
+    assert v(cleanup.ordered_box(F.array(*(F.lit(x) for x in (5.0, 1.0, 2.0, 9.0))))) == [2.0, 1.0, 5.0, 9.0]
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "in/.hidden").mkdir(parents=True)
     (tmp_path / "in/b10.csv").write_bytes("a,b\n1,2,3\n".encode())
