@@ -1,10 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds find candidate passages, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds find candidate passages, Smith-Waterman alignment scores them.
 
 Word n-grams of the test items are seeds. Documents are scanned once; a fixed-size bit filter of the seeds picks the places
 worth sending on, and the words around them go along as passages, so no text is shuffled. An equi-join with the seeds names the items.
-A seed that stands in many more documents than the median seed of its item is common phrasing and starts no alignment; an item
-that leaked into many documents has many in all its seeds and keeps them. Each (passage, item) found is aligned over words with
-match +2, mismatch and gap -1; the score is the best local alignment over that of a verbatim copy, so edits lower it gradually.
+Every seed counts, however many documents it stands in: an edited leak may have kept none but common ones. What spreads is bounded
+by collapsing instead: passages of the same words are one, aligned once with each item and scored for all their documents.
+Each (passage, item) found is aligned over words with match +2, mismatch and gap -1; the score is the best local alignment over
+that of a verbatim copy, so edits lower it gradually.
 
 Defined results: null and empty texts match nothing; items of fewer words than a seed have none and match nothing; items with
 a null id are left out, those that repeat an id count as that id's variants; rows that repeat id and text share their
@@ -19,32 +20,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import ALNUM_WORDS, as_signed, gram_starts, list_array, rolling_hashes, text_slices, word_hashes, words_of
-from .repeats import prepared
+from .repeats import digest, prepared
 from .shared import NO_ID, Scratch, key_filter, load_filter, map_arrow, passes, without
 
 SEED_WORDS = 4
 #: Alignment score from which a document counts as holding the item.
 THRESHOLD = 0.5
-#: A seed is common if it stands in more documents than this and more than RARE_TIMES its item's median seed.
-RARE_DOCS, RARE_TIMES = 50, 10
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: Cells of a row of alignments that are made at once.
+CELLS = 1 << 16
 #: Seeds up to which they are broadcast; more of them are joined by a shuffle.
 BROADCAST_SEEDS = 500_000
 
 
+def alignments(item: np.ndarray, passages: list[np.ndarray]) -> np.ndarray:
+    """Best local alignment score of a sequence of word hashes with each of several, row by row of all of them."""
+    sizes = np.array([len(p) for p in passages], np.int64)
+    out, order = np.zeros(len(passages), np.int64), np.argsort(sizes, kind="stable")
+    lo = 0
+    while lo < len(order):
+        # passages of rising length fill CELLS, one at least
+        ahead = sizes[order[lo:]]
+        take = order[lo : lo + max(1, int(np.searchsorted(ahead * np.arange(1, len(ahead) + 1), CELLS, "right")))]
+        lo += len(take)
+        n = int(sizes[take].max())
+        words, inside = np.zeros((len(take), n), item.dtype), np.arange(n) < sizes[take][:, None]
+        words[inside] = np.concatenate([passages[i] for i in take])
+        down = np.arange(n + 1, dtype=np.int32) * -GAP
+        last, best = np.zeros((len(take), n + 1), np.int32), np.zeros((len(take), n + 1), np.int32)
+        for w in item:
+            row = np.zeros_like(last)
+            np.maximum(last[:, :-1] + np.where((words == w) & inside, np.int32(MATCH), np.int32(MISMATCH)), 0, out=row[:, 1:])
+            np.maximum(row, last + np.int32(GAP), out=row)
+            row = np.maximum.accumulate(row + down, axis=1) - down  # gaps along the row
+            np.maximum(best, row, out=best)
+            last = row
+        out[take] = best.max(axis=1)
+    return out
+
+
 def smith_waterman(item: np.ndarray, passage: np.ndarray) -> int:
-    """Best local alignment score of two sequences of word hashes, row by row."""
-    n = len(passage)
-    down = np.arange(n + 1) * -GAP
-    last, best = np.zeros(n + 1, np.int64), 0
-    for w in item:
-        row = np.zeros(n + 1, np.int64)
-        np.maximum(last[:-1] + np.where(passage == w, MATCH, MISMATCH), 0, out=row[1:])
-        np.maximum(row, last + GAP, out=row)
-        row = np.maximum.accumulate(row + down) - down  # gaps along the row
-        best = max(best, int(row.max()))
-        last = row
-    return best
+    """Best local alignment score of two sequences of word hashes."""
+    return int(alignments(item, [passage])[0])
 
 
 def items_of(benchmark: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
@@ -64,7 +81,7 @@ def items_of(benchmark: DataFrame, id_col: str, text_col: str, n: int) -> DataFr
 
 
 def _passages(rows: DataFrame, held, margin: int, n: int) -> DataFrame:
-    """did, th, p0, words, seeds: stretches of words around seed hits, `margin` words on either side, joined where they meet."""
+    """did, th, pk (digest of the words), words, seeds: stretches of words around seed hits, `margin` words on either side, joined where they meet."""
 
     def of_batch(batch: pa.RecordBatch):
         table = load_filter(held)
@@ -83,44 +100,46 @@ def _passages(rows: DataFrame, held, margin: int, n: int) -> DataFrame:
             p0, p1 = np.maximum(at - margin, first[row]), np.minimum(at + n + margin, first[row + 1])
             new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (p0[1:] > p1[:-1])])
             last = np.r_[new[1:], len(at)] - 1
-            words = np.concatenate([hashes[a:b] for a, b in zip(p0[new], p1[last], strict=True)])
+            runs = [hashes[a:b] for a, b in zip(p0[new], p1[last], strict=True)]
             take = pa.array(lo + row[new])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), pa.array((p0 - first[row])[new]), list_array(as_signed(words), p1[last] - p0[new], pa.int64()), list_array(as_signed(grams), np.diff(np.r_[new, len(at)]), pa.int64())],
-                ["did", "th", "p0", "words", "seeds"],
+                [batch.column(0).take(take), batch.column(1).take(take), pa.array([digest(r) for r in runs], pa.binary()), list_array(as_signed(np.concatenate(runs)), p1[last] - p0[new], pa.int64()), list_array(as_signed(grams), np.diff(np.r_[new, len(at)]), pa.int64())],
+                ["did", "th", "pk", "words", "seeds"],
             )
 
-    return map_arrow(rows.select("did", "th", "text"), of_batch, "did long, th long, p0 long, words array<long>, seeds array<long>")
+    return map_arrow(rows.select("did", "th", "text"), of_batch, "did long, th long, pk binary, words array<long>, seeds array<long>")
 
 
 def _align(batch: pa.RecordBatch):
-    scores = []
-    words, items = batch.column(4), batch.column(3)
-    for r in range(batch.num_rows):
-        item = np.asarray(items[r].values)
-        scores.append(smith_waterman(item, np.asarray(words[r].values)) / (MATCH * len(item)))
-    yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(scores, pa.float64())], ["did", "th", "item_id", "score"])
+    items, words = batch.column(2), batch.column(3)
+    at: dict[tuple[int, bytes], list[int]] = {}
+    for r, i in enumerate(batch.column(1).to_pylist()):
+        at.setdefault((i, np.asarray(items[r].values).tobytes()), []).append(r)  # an id may have several texts
+    scores = np.zeros(batch.num_rows)
+    for (_, data), rows in at.items():
+        item = np.frombuffer(data, np.int64)
+        scores[rows] = alignments(item, [np.asarray(words[r].values) for r in rows]) / (MATCH * len(item))
+    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], ["pk", "item_id", "score"])
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = SEED_WORDS, scratch: Scratch | None = None) -> DataFrame:
-    """did, th, item_id, score: the best alignment of each document with each item that a rare seed found in it."""
+    """did, th, item_id, score: the best alignment of each document with each item that a seed found in it."""
     scratch = scratch or Scratch(docs.sparkSession, "decontaminate")
     items = scratch.write(items_of(benchmark, item_col, item_text_col, n), "items")
     seeds = items.select("item_id", F.explode("seeds").alias("h")).distinct()
     shape = items.agg(F.max(F.size("words")), F.sum(F.size("seeds"))).first()
     held = key_filter(seeds, "h")
-    found = scratch.write(_passages(prepared(docs, id_col, text_col), held, shape[0] or 0, n).dropDuplicates(["did", "th", "p0"]), "passages")
+    found = scratch.write(_passages(prepared(docs, id_col, text_col), held, shape[0] or 0, n), "passages")
     small = (shape[1] or 0) <= BROADCAST_SEEDS
     bounded = F.broadcast if small else lambda df: df
-    hits = found.select("did", "th", "p0", F.explode(F.array_distinct("seeds")).alias("h"))
-    spread = hits.select("h", "did", "th").distinct().groupBy("h").agg(F.count("*").alias("docs"))
-    rated = seeds.join(spread, "h", "left").fillna(0, ["docs"])
-    middle = rated.groupBy("item_id").agg(F.percentile("docs", 0.5).alias("middle"))
-    rare = scratch.write(rated.join(middle, "item_id").filter(F.col("docs") <= F.greatest(F.lit(float(RARE_DOCS)), RARE_TIMES * F.col("middle"))).select("h", "item_id"), "rare")
-    wanted = hits.join(bounded(rare), "h").select("did", "th", "p0", "item_id").distinct()
-    pairs = wanted.join(found.select("did", "th", "p0", "words"), ["did", "th", "p0"])
+    # the words of a passage name its seeds, too
+    passages = scratch.write(found.select("pk", "words", "seeds").dropDuplicates(["pk"]), "distinct")
+    wanted = passages.select("pk", F.explode(F.array_distinct("seeds")).alias("h")).join(bounded(seeds), "h").select("pk", "item_id").distinct()
+    pairs = wanted.join(passages.select("pk", "words"), "pk")
     pairs = pairs.join(bounded(items.select("item_id", F.col("words").alias("item"))), "item_id")
-    scored = map_arrow(pairs.select("did", "th", "item_id", "item", "words"), _align, "did long, th long, item_id long, score double")
+    aligned = map_arrow(pairs.select("pk", "item_id", "item", "words"), _align, "pk binary, item_id long, score double")
+    best = scratch.write(aligned.groupBy("pk", "item_id").agg(F.max("score").alias("score")), "aligned")
+    scored = found.select("did", "th", "pk").distinct().join(best, "pk")
     return scratch.write(scored.groupBy("did", "th", "item_id").agg(F.max("score").alias("score")), "scores")
 
 

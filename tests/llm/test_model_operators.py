@@ -225,6 +225,33 @@ def test_decontamination(spark, none):
     assert decontaminate.report(table, bench.limit(0)).filter("contaminated = 1").count() == 0
 
 
+def test_edited_leak_in_many_documents(spark):
+    """Edits that leave less than half of an item's seeds make the rest look common; they count all the same."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(500)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    item = text(40).split()
+    edited = [f"new{i}" if i in (18, 22, 26, 30, 34, 38) else w for i, w in enumerate(item)]
+    half = item[:20]  # scores just the threshold
+    docs = [(i, f"{text(60)} {' '.join(edited)} {text(60)}") for i in range(300)]
+    docs += [(1000 + i, " ".join(edited)) for i in range(300)]  # the same words in each
+    docs += [(2000 + i, f"{text(60)} {' '.join(half)} {text(60)}") for i in range(100)]
+    docs += [(3000 + i, text(100)) for i in range(50)]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item)), (8, text(30))], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.report(table, bench).collect()}
+    assert {i for i, r in got.items() if r.contaminated} == {i for i, _ in docs if i < 3000}
+    assert all(r.item_ids == [7] for r in got.values() if r.contaminated)
+    assert got[1000].best_score == (34 * 2 - 6) / 80
+
+
+def test_alignments_of_many_passages():
+    rng = np.random.default_rng(3)
+    item = rng.integers(0, 6, 12)
+    passages = [rng.integers(0, 6, n) for n in (1, 30, 5, 12, 70_000, 12, 2)]
+    assert decontaminate.alignments(item, passages).tolist() == [decontaminate.smith_waterman(item, p) for p in passages]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
