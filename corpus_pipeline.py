@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.llm import decontaminate, line_dedup, mixing, simhash, toxicity
+from lakeloom.llm import decontaminate, line_dedup, mixing, near_copies, simhash, toxicity
 from lakeloom.llm.shared import Scratch
 
 
@@ -24,8 +24,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
-    return simhash.representatives(docs)
+    """One document of each group stays: those within two bits, as in op9, or of a five-word Jaccard similarity of 0.8 or more."""
+    return simhash.representatives(docs, similarity=near_copies.SIMILARITY)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

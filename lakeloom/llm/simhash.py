@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import near_copies
 from .kernel import as_signed
 from .repeats import prepared
 from .shared import KEY, NO_ID, Scratch, components, keyed, map_arrow, split_rows
@@ -153,11 +154,15 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return dealt.mapInArrow(_compare(radius), "a long, b long")
 
 
-def groups(fps: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
-    """fp, root (smallest fingerprint of its component), component_id (smallest id of it) of the different fingerprints."""
+def groups(fps: DataFrame, radius: int, scratch: Scratch, more: DataFrame | None = None) -> DataFrame:
+    """fp, root (smallest fingerprint of its component), component_id (smallest id of it) of the different fingerprints.
+
+    `more`: links (a, b) between fingerprints besides those within the radius.
+    """
     named = F.when(F.col("did") != NO_ID, F.col("did"))
     distinct = scratch.write(fps.groupBy("fp").agg(F.min(named).alias("first_id")), "distinct")
-    roots = components(links(distinct, radius), scratch).select(F.col("node").alias("fp"), "root")
+    near = links(distinct, radius)
+    roots = components(near if more is None else near.union(more), scratch).select(F.col("node").alias("fp"), "root")
     known = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = known.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return scratch.write(known.join(ids, "root").select("fp", "root", "component_id"), "named")
@@ -170,11 +175,25 @@ def cluster(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return fps.join(groups(fps, radius, scratch), "fp").select(F.when(F.col("did") != NO_ID, F.col("did")).alias("doc_id"), "fp", "component_id")
 
 
-def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
-    """docs with one row of each component: that with the smallest id that is not null, of several the smallest text hash."""
+def alike(docs: DataFrame, fps: DataFrame, scratch: Scratch, *, id_col: str, text_col: str, similarity: float) -> DataFrame:
+    """Links (a, b) between fingerprints of documents whose five-word shingles are at least that similar."""
+    placed, found = near_copies.links(prepared(docs, id_col, text_col), scratch, similarity=similarity)
+    named = scratch.write(placed.join(fps, ["did", "th"]).select("lk", "fp").distinct(), "sets")
+    low = named.groupBy("lk").agg(F.min("fp").alias("low"))
+    same = named.join(low, "lk").select(F.col("fp").alias("a"), F.col("low").alias("b"))
+    a, b = low.select(F.col("lk").alias("a"), F.col("low").alias("x")), low.select(F.col("lk").alias("b"), F.col("low").alias("y"))
+    return same.union(found.join(a, "a").join(b, "b").select("x", "y")).filter("a <> b").distinct()
+
+
+def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, radius: int = RADIUS, similarity: float | None = None) -> DataFrame:
+    """docs with one row of each component: that with the smallest id that is not null, of several the smallest text hash.
+
+    With a similarity, documents whose five-word shingles have at least that Jaccard similarity are linked, too.
+    """
     scratch = Scratch(docs.sparkSession, "simhash")
     fps = scratch.write(fingerprints(docs, id_col=id_col, text_col=text_col, words=words), "fps")
-    member = fps.groupBy("did", "th").agg(F.min("fp").alias("fp"), F.count("*").alias("n")).join(groups(fps, radius, scratch).select("fp", "root"), "fp")
+    more = alike(docs, fps, scratch, id_col=id_col, text_col=text_col, similarity=similarity) if similarity is not None else None
+    member = fps.groupBy("did", "th").agg(F.min("fp").alias("fp"), F.count("*").alias("n")).join(groups(fps, radius, scratch, more).select("fp", "root"), "fp")
     order = F.struct((F.col("did") == NO_ID).alias("unnamed"), "did", "th")
     first = member.groupBy("root").agg(F.min(order).alias("first"))
     state = member.join(first, "root").select("did", "th", "n", (order == F.col("first")).alias("stays"))

@@ -252,6 +252,61 @@ def test_alignments_of_many_passages():
     assert decontaminate.alignments(item, passages).tolist() == [decontaminate.smith_waterman(item, p) for p in passages]
 
 
+def test_pipeline_stage_drops_near_copies(spark):
+    """Copies with changed words, of a five-word Jaccard similarity of 0.8 or more, mostly differ in more than two bits."""
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(3000)]
+    shared = " ".join(rng.choice(words) for _ in range(12))
+    docs, changed = [], []
+    for i in range(150):
+        text = f"{shared} {' '.join(rng.choice(words) for _ in range(rng.randint(60, 250)))}"
+        docs.append((i, text))
+        for k in range(rng.randint(1, 3)):
+            w = text.split()
+            for _ in range(rng.randint(1, 6)):
+                w[rng.randrange(len(w))] = "other"
+            changed.append((1000 * (k + 1) + i, " ".join(w)))
+    docs += changed + [(9000 + i, t) for i, t in enumerate(["", None, "Few words", "few  WORDS", "a b c d"])]
+
+    def grams(t):
+        w = (t or "").lower().split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [grams(t) for _, t in docs]
+    alike = lambda a, b: a and b and len(a & b) >= 0.8 * len(a | b)
+    near = brute.simhash(docs)
+    root = {c: c for *_, c in near}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(docs)):
+        for j in range(i):
+            if alike(sets[i], sets[j]):
+                a, b = sorted((find(near[i][2]), find(near[j][2])))
+                root[b] = a
+    want = {find(c) for *_, c in near}
+    got = {r.doc_id for r in corpus_pipeline.simhash_stage(spark, spark.createDataFrame(docs, "doc_id long, text string").repartition(3), "").collect()}
+    assert got == want and len(want) < len({c for *_, c in near})
+
+
+def test_near_copies_in_small_tiles(spark):
+    from lakeloom.llm import near_copies
+    from lakeloom.llm.repeats import prepared
+
+    rng = random.Random(10)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+    docs = [(i, " ".join(base[:k] + [f"x{i}"] + base[k + 1 :])) for i in range(60) for k in [rng.randrange(100)]] + [(100, " ".join(base[::-1]))]
+    scratch = Scratch(spark, "test")
+    placed, found = near_copies.links(prepared(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text"), scratch, tile=8)
+    roots = components(found, scratch)
+    assert roots.select("root").distinct().count() == 1 and roots.count() == 60 and placed.count() == 61
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
