@@ -2,8 +2,10 @@
 
 All rolling word k-grams of every document are hashed and Spark-joined to the positions of license templates. A hit of
 word position p on template position t votes for the diagonal p - t: a template standing in a text without edits puts
-all its votes on one diagonal, an edited one on neighbouring diagonals. Votes are aggregated by diagonal,
-diagonals a few words apart are merged, and a span counts when enough of the template's k-grams stand in it. A hit is a
+all its votes on one diagonal, an edited one on neighbouring diagonals. Votes are aggregated by diagonal and
+diagonals a few words apart are merged. A span is then verified: its hits are read from the left and from the right, and a hit
+counts only if its template position lies beyond all that came before, so each position counts once and only in the template's
+order; a span wider than WIDTH templates does not count. Enough of the template's k-grams must count. A hit is a
 hit only if the words are equal, not just the hashes.
 
 Defined results: a null text is empty (no words, no labels, score 0); every input row returns one row, repeated rows
@@ -26,6 +28,8 @@ GRAM = 3
 SLACK = 6
 #: Part of a template's k-grams that a span must hold.
 COVERAGE = 0.6
+#: Widest span, as a multiple of the template's words.
+WIDTH = 2.0
 #: Template rows up to which they are broadcast; the library is a parameter, not data.
 BROADCAST_ROWS = 200_000
 
@@ -110,26 +114,33 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tem
     hits = hits.withColumn("same", F.coalesce(same, F.lit(False)))
     voted = lambda c: F.when(F.col("same"), F.col(c))
     keys = ["row_id", "doc_id", "n_words"]
+    template = ["name", "label", "base", "n_grams"]
     votes = (
-        hits.select(*keys, *(voted(c).alias(c) for c in ("name", "label", "base", "n_grams", "t")), F.when(F.col("same"), F.col("p") - F.col("t")).alias("diagonal"))
-        .groupBy(*keys, "name", "label", "base", "n_grams", "diagonal")
-        .agg(F.count("t").alias("votes"), F.min("t").alias("t0"), F.max("t").alias("t1"))
+        hits.select(*keys, *(voted(c).alias(c) for c in (*template, "t")), F.when(F.col("same"), F.col("p") - F.col("t")).alias("diagonal"))
+        .groupBy(*keys, *template, "diagonal")
+        .agg(F.collect_set("t").alias("ts"))  # template positions: as many as the template has at most
     )
     near = Window.partitionBy("row_id", "name").orderBy("diagonal")
     step = F.col("diagonal") - F.lag("diagonal").over(near)
     # a base phrase is looked up as it stands, so its diagonals stay apart
     votes = votes.withColumn("new", F.when(step.isNull() | (step > slack) | F.col("base"), 1).otherwise(0))
-    votes = votes.withColumn("span", F.sum("new").over(near))
-    spans = votes.groupBy(*keys, "name", "label", "base", "n_grams", "span").agg(
-        F.sum("votes").alias("votes"),
-        F.min("t0").alias("t0"),
-        F.max("t1").alias("t1"),
-        F.min(F.col("diagonal") + F.col("t0")).alias("first_word"),
-        (F.max(F.col("diagonal") + F.col("t1")) + k).alias("end_word"),
-        F.max(F.col("votes") == F.col("n_grams")).alias("whole"),
+    votes = votes.withColumn("span", F.sum("new").over(near)).withColumn("full", F.size("ts") == F.col("n_grams"))
+    placed = votes.select(*keys, *template, "span", "full", "diagonal", F.explode_outer("ts").alias("t")).withColumn("p", F.col("diagonal") + F.col("t"))
+    own = Window.partitionBy("row_id", "name", "span")
+    ahead, back = (own.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1) for order in (("p", F.desc("t")), (F.desc("p"), "t")))
+    above, below = F.max("t").over(ahead), F.min("t").over(back)
+    placed = placed.withColumns({"l": above.isNull() | (F.col("t") > above), "r": below.isNull() | (F.col("t") < below)})
+    at = lambda f, side: f(F.when(F.col(side), F.col("p")))
+    spans = placed.groupBy(*keys, *template, "span").agg(
+        F.count_if(F.col("l") & F.col("t").isNotNull()).alias("left"),
+        F.count_if(F.col("r") & F.col("t").isNotNull()).alias("right"),
+        *(at(f, side).alias(f"{side}_{name}") for side in "lr" for name, f in (("first", F.min), ("last", F.max))),
+        F.max("full").alias("whole"),
     )
-    part = F.least(F.col("votes"), F.col("t1") - F.col("t0") + 1) / F.col("n_grams")
-    spans = spans.withColumn("coverage", part)
+    side = lambda name: F.when(F.col("left") >= F.col("right"), F.col(f"l_{name}")).otherwise(F.col(f"r_{name}"))
+    spans = spans.withColumns({"first_word": side("first"), "end_word": side("last") + k})
+    fits = F.col("end_word") - F.col("first_word") <= (F.col("n_grams") + k - 1) * WIDTH
+    spans = spans.withColumn("coverage", F.when(fits, F.greatest("left", "right") / F.col("n_grams")).otherwise(0.0))
     kept = F.when(F.col("base"), F.col("whole")).otherwise(F.col("coverage") >= coverage)
     out = [F.when(kept, F.col(c)).alias(c) for c in ("name", "label", "base", "first_word", "end_word", "whole")]
     return spans.select(*keys, *out, F.coalesce("coverage", F.lit(0.0)).alias("coverage"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .license_scan import COVERAGE, GRAM, SLACK, TEMPLATES
+from .license_scan import COVERAGE, GRAM, SLACK, TEMPLATES, WIDTH
 from .substring_dedup import WINDOW
 
 
@@ -21,11 +21,17 @@ def license_scan() -> str:
 texts AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 places AS (SELECT doc_id, w, unnest(range(0, len(w) - {GRAM - 1})) AS p FROM texts),
 hits AS (SELECT doc_id, name, label, base, n, t, p - t AS diagonal FROM (SELECT doc_id, p, {gram} AS g FROM places) JOIN library USING (g)),
-votes AS (SELECT doc_id, name, label, base, n, diagonal, count(*) AS votes, min(t) AS t0, max(t) AS t1 FROM hits GROUP BY ALL),
-marks AS (SELECT *, CASE WHEN base OR coalesce(diagonal - lag(diagonal) OVER w > {SLACK}, true) THEN 1 ELSE 0 END AS new FROM votes WINDOW w AS (PARTITION BY doc_id, name ORDER BY diagonal)),
-runs AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, name ORDER BY diagonal) AS span FROM marks),
-spans AS (SELECT doc_id, name, label, base, n, span, sum(votes) AS votes, min(t0) AS t0, max(t1) AS t1, min(diagonal + t0) AS first_word, bool_or(votes = n) AS whole FROM runs GROUP BY ALL),
-judged AS (SELECT *, least(votes, t1 - t0 + 1)::DOUBLE / n::DOUBLE AS coverage FROM spans),
+marks AS (SELECT *, CASE WHEN base OR coalesce(diagonal - lag(diagonal) OVER w > {SLACK}, true) THEN 1 ELSE 0 END AS new FROM (SELECT DISTINCT doc_id, name, base, diagonal FROM hits) WINDOW w AS (PARTITION BY doc_id, name ORDER BY diagonal)),
+runs AS (SELECT doc_id, name, diagonal, sum(new) OVER (PARTITION BY doc_id, name ORDER BY diagonal) AS span FROM marks),
+placed AS (SELECT h.*, diagonal + t AS p, span, count(*) OVER (PARTITION BY doc_id, name, diagonal) = n AS whole FROM hits h JOIN runs USING (doc_id, name, diagonal)),
+-- a hit counts if no hit before it (or, read backwards, after it) has as far a template position
+counted AS (SELECT a.doc_id, a.name, a.label, a.base, a.n, a.span, a.p, a.whole,
+  NOT EXISTS (SELECT 1 FROM placed b WHERE b.doc_id = a.doc_id AND b.name = a.name AND b.span = a.span AND b.t >= a.t AND (b.p < a.p OR (b.p = a.p AND b.t > a.t))) AS l,
+  NOT EXISTS (SELECT 1 FROM placed b WHERE b.doc_id = a.doc_id AND b.name = a.name AND b.span = a.span AND b.t <= a.t AND (b.p > a.p OR (b.p = a.p AND b.t < a.t))) AS r FROM placed a),
+spans AS (SELECT doc_id, name, label, base, n, span, bool_or(whole) AS whole, count(*) FILTER (l) AS ls, count(*) FILTER (r) AS rs,
+  CASE WHEN count(*) FILTER (l) >= count(*) FILTER (r) THEN min(p) FILTER (l) ELSE min(p) FILTER (r) END AS first_word,
+  CASE WHEN count(*) FILTER (l) >= count(*) FILTER (r) THEN max(p) FILTER (l) ELSE max(p) FILTER (r) END + {GRAM} AS end_word FROM counted GROUP BY ALL),
+judged AS (SELECT *, CASE WHEN end_word - first_word <= (n + {GRAM - 1}) * {WIDTH} THEN greatest(ls, rs)::DOUBLE / n::DOUBLE ELSE 0 END AS coverage FROM spans),
 found AS (SELECT doc_id, count(*) FILTER (base AND whole) AS n_base, min(first_word) FILTER (base AND whole) AS first_word, max(first_word) FILTER (base AND whole) AS last_word,
   array_to_string(list_sort(list_distinct(list(label) FILTER (base AND whole))), ',') AS base_labels,
   array_to_string(list_sort(list_distinct(list(label) FILTER (CASE WHEN base THEN whole ELSE coverage >= {COVERAGE} END))), ',') AS labels, max(coverage) AS score FROM judged GROUP BY doc_id)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections import Counter, defaultdict
@@ -23,6 +24,30 @@ def license_base(text):
     return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
 
 
+def license_labels(text, templates, k=3, share=0.6):
+    """Labels of the templates of which enough k-grams stand in the text in order, in few more words than the template has: longest
+    chains of hits, without diagonals."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+    labels = set()
+    for _, label, base, template in templates:
+        t = template.split()
+        places = defaultdict(list)
+        for i in range(len(t) - k + 1):
+            places[tuple(t[i : i + k])].append(i)
+        hits = [(p, i) for p in range(len(words) - k + 1) for i in sorted(places.get(tuple(words[p : p + k]), ()), reverse=True)]
+        n, best = len(t) - k + 1, 0
+        for start in {p for p, _ in hits}:
+            chain = []  # smallest last template position of a chain of each length
+            for p, i in hits:
+                if start <= p <= start + 1.5 * len(t):
+                    at = bisect.bisect_left(chain, i)
+                    chain[at : at + 1] = [i]
+            best = max(best, len(chain))
+        if best == n if base else best >= share * n:
+            labels.add(label)
+    return ",".join(sorted(labels))
+
+
 def substring(docs, window=50):
     """docs: (doc_id, text) -> list of (doc_id, n_words, n_removed, kept_sha256)."""
     split = [(i, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in docs]

@@ -30,6 +30,27 @@ def test_license_text_with_edits_is_found(spark):
     assert got[2].labels == "" and got[2].score == 0
 
 
+def test_repeated_grams_are_no_license(spark, corpus):
+    """Each template position counts once and in order; the plain version knows no diagonals."""
+    rng = random.Random(3)
+    texts = ["this program is " * 14 + "free software foundation", "redistribution and use " * 14 + "conditions are met", "source and binary forms with " * 40]
+    for _, _, _, t in license_scan.TEMPLATES:
+        w = t.split()
+        for _ in range(4):
+            edited = [x for x in w if rng.random() > 0.04]
+            for _ in range(rng.randint(0, 2)):
+                edited.insert(rng.randrange(len(edited) + 1), "inserted")
+            texts.append(" ".join(["lead"] * rng.randint(0, 9) + edited + ["tail"]))
+        texts.append(" ".join(rng.sample(w, len(w))))
+        half = w[: len(w) // 2]
+        texts.append(" ".join(w[len(half) :] + half))
+    texts += [t for _, t in corpus if t and len(t) < 2000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.summary(license_scan.scan(docs)).collect()}
+    assert [got[i].labels for i in range(3)] == ["", "", ""] and all(got[i].score < 0.5 for i in range(3))
+    assert [got[i].labels for i in range(len(texts))] == [brute.license_labels(t, license_scan.TEMPLATES) for t in texts]
+
+
 def test_secret_scan(docs, corpus, none):
     got = rows(secret_scan.scan(docs), "doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
     want = []
