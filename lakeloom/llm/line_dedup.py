@@ -4,7 +4,7 @@ A line is compared in its normal form: A-Z lower-cased, ASCII white space as sin
 kept. Of each line the MinHash signature over its character shingles is cut into bands; lines that agree on a whole band are
 candidates. Recall of a pair of similarity s is 1 - (1 - s^ROWS)^BANDS: 0.986 at 0.8, 0.9998 at 0.9, 1 for equal lines.
 Bands shared by different lines are found first, from keys alone; only lines in them bring their text. Candidates are
-verified by the exact Jaccard similarity of their shingle sets, buckets of any size in tiles of bounded size that yield a spanning forest,
+verified by the exact Jaccard similarity of their shingle sets (64-bit hashes of the shingles), buckets of any size in tiles of bounded size that yield a spanning forest,
 never all pairs. Components then keep the line that stands first by document id and position.
 
 Defined results: a null text has one blank line; null ids come before others; rows that repeat both id and text
@@ -31,9 +31,11 @@ BANDS, ROWS = 8, 4
 #: Lines of a bucket that one task compares with as many others.
 TILE = 2048
 #: Characters whose shingles are hashed at once.
-PART = 1 << 18
+PART = 1 << 16
 #: Shingles of a line whose minimum is taken at once.
 STEP = 16
+#: Bits of the sketch that tells most unlike lines apart before their shingles are compared.
+SKETCH = 2048
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -41,17 +43,15 @@ def normal(line: str) -> str:
     return b" ".join(line.encode("utf-8", "surrogatepass").translate(_LOWER).split()).decode("utf-8", "replace")
 
 
-def shingles(line: str, q: int = SHINGLE) -> frozenset[str]:
-    return frozenset(line[i : i + q] for i in range(max(1, len(line) - q + 1)))
-
-
 _FACTORS = (mix64(np.arange(1, 129, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _OFFSETS = (mix64(np.arange(1001, 1129, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
 
-def signatures(lines: list[str], q: int, count: int) -> np.ndarray:
-    """MinHash signatures, one row for each line."""
-    out = np.empty((len(lines), count), np.uint32)
+def _grams(lines: list[str], q: int):
+    """(first line, end line, hashes of the shingles, shingles of each line) of groups of lines of about PART characters.
+
+    A line shorter than a shingle is padded to one.
+    """
     i = 0
     while i < len(lines):
         j, size = i, 0
@@ -60,14 +60,53 @@ def signatures(lines: list[str], q: int, count: int) -> np.ndarray:
             j += 1
         group = [x if len(x) >= q else x + "\0" * (q - len(x)) for x in lines[i:j]]
         points = np.frombuffer("".join(group).encode("utf-32-le", "surrogatepass"), np.uint32)
-        ends = np.cumsum([len(x) for x in group])
+        lengths = np.array([len(x) for x in group])
+        ends = np.cumsum(lengths)
         grams = rolling_hashes((points.astype(np.uint64) + np.uint64(77)) * np.uint64(0xD6E8FEB86659FD93), q)
         keep = np.ones(len(grams), bool)
         for k in range(1, q):  # shingles across two lines
             at = ends[:-1] - k
             keep[at[at < len(grams)]] = False
-        grams = (grams[keep] >> np.uint64(32)).astype(np.uint32)
-        sizes = np.array([len(x) - q + 1 for x in group])
+        yield i, j, grams[keep], lengths - q + 1
+        i = j
+
+
+class Shingles:
+    """The different shingles of a line as sorted 64-bit hashes, and a sketch: SKETCH bits, those set that a shingle falls on."""
+
+    __slots__ = ("found", "size", "sketch")
+
+    def __init__(self, grams: np.ndarray, sketch: int):
+        grams = np.sort(grams)
+        new = np.ones(len(grams), bool)
+        np.not_equal(grams[1:], grams[:-1], out=new[1:])
+        self.found = grams[new]
+        self.size, self.sketch = len(self.found), sketch
+
+    def similar(self, other: Shingles, similarity: float) -> bool:
+        """Jaccard similarity of at least that much. A bit that only one sketch has stands for a shingle that only one line has."""
+        need = similarity * (self.size + other.size) - 1e-9
+        if (self.size - (self.sketch & ~other.sketch).bit_count()) * (1 + similarity) < need:
+            return False
+        at = other.found.searchsorted(self.found)
+        return int((other.found.take(at, mode="clip") == self.found).sum()) * (1 + similarity) >= need
+
+
+def shingles(lines: list[str], q: int = SHINGLE) -> list[Shingles]:
+    out = []
+    for _, _, grams, sizes in _grams(lines, q):
+        bits = np.zeros((len(sizes), SKETCH), bool)
+        bits[np.repeat(np.arange(len(sizes)), sizes), (grams & np.uint64(SKETCH - 1)).astype(np.int64)] = True
+        sketches, ends = np.packbits(bits, axis=1), np.cumsum(sizes).tolist()
+        out += [Shingles(grams[a:b], int.from_bytes(sketches[k].tobytes())) for k, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True))]
+    return out
+
+
+def signatures(lines: list[str], q: int, count: int) -> np.ndarray:
+    """MinHash signatures, one row for each line."""
+    out = np.empty((len(lines), count), np.uint32)
+    for i, j, grams, sizes in _grams(lines, q):
+        grams = (grams >> np.uint64(32)).astype(np.uint32)
         begins = np.r_[0, np.cumsum(sizes)[:-1]]
         # blocks of STEP shingles of one line side by side (the last one repeated), so that minima are taken across rows
         blocks = -(-sizes // STEP)
@@ -81,7 +120,6 @@ def signatures(lines: list[str], q: int, count: int) -> np.ndarray:
             np.bitwise_xor(table, _OFFSETS[k], out=work)
             np.multiply(work, _FACTORS[k], out=work)
             out[i:j, k] = np.minimum.reduceat(np.minimum.reduce(work, axis=0), first)
-        i = j
     return out
 
 
@@ -169,33 +207,36 @@ def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return map_arrow(rows.select("text"), of_batch, "lk binary, form string").dropDuplicates(["lk"])
 
 
-def forest(keys: list[bytes], forms: list[str], sides: list[int], q: int, similarity: float) -> list[tuple[bytes, bytes]]:
-    """Links that connect the similar lines of a tile pair, across the sides if there are two; a spanning forest."""
-    sets = [shingles(f, q) for f in forms]
-    order = sorted(range(len(keys)), key=lambda i: (len(sets[i]), keys[i], sides[i]))
-    nodes: dict[bytes, int] = {}  # a line that stands on both sides is one node
-    root = [nodes.setdefault(k, i) for i, k in enumerate(keys)]
-
-    def find(x):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
+def forest(keys: list[bytes], sets: list[Shingles], sides: list[int], similarity: float) -> list[tuple[bytes, bytes]]:
+    """Links that connect the similar lines of a tile pair, across the sides if there are two; a spanning forest.
 
+    Lines come by rising size; each is compared with a component only until one member of it is similar.
+    """
     across = len(set(sides)) > 1
-    out = []
-    for at, i in enumerate(order):
-        a = sets[i]
-        for j in reversed(order[:at]):
-            b = sets[j]
-            if len(b) < similarity * len(a):
-                break  # the others are no larger
-            if (across and sides[i] == sides[j]) or find(i) == find(j):
-                continue
-            common = len(a & b)
-            if common >= similarity * (len(a) + len(b) - common):
-                root[find(i)] = find(j)
-                out.append((keys[i], keys[j]))
+    out: list[tuple[bytes, bytes]] = []
+    parts: list[list[int]] = []  # components, their members by rising size
+    for i in sorted(range(len(keys)), key=lambda i: (sets[i].size, keys[i], sides[i])):
+        mine, least, side = sets[i], similarity * sets[i].size - 1e-9, sides[i]
+        apart, joined = [], []
+        for part in parts:
+            if sets[part[-1]].size < least:
+                continue  # no member is large enough for this line or a later one
+            for j in reversed(part):
+                if sets[j].size < least:
+                    apart.append(part)
+                    break
+                same = keys[i] == keys[j]  # a line that stands on both sides
+                if across and sides[j] == side and not same:
+                    continue
+                if same or mine.similar(sets[j], similarity):
+                    if not same:
+                        out.append((keys[i], keys[j]))
+                    joined = sorted(joined + part, key=lambda x: sets[x].size) if joined else part
+                    break
+            else:
+                apart.append(part)
+        joined.append(i)
+        parts = [*apart, joined]
     return out
 
 
@@ -211,18 +252,24 @@ def _verify(q: int, similarity: float):
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.binary()), pa.array([y for _, y in pairs], pa.binary())], ["a", "b"])
 
         for batch in batches:
-            rows = [batch.column(i).to_pylist() for i in range(6)]
-            for band, t0, t1, *row in zip(*rows, strict=True):
-                if (band, t0, t1) != last:
+            groups = np.stack([np.asarray(batch.column(i)).astype(np.int64) for i in range(3)], axis=1)
+            cuts = np.flatnonzero(np.r_[True, (groups[1:] != groups[:-1]).any(axis=1), True]).tolist()
+            keys, sides, forms = (batch.column(i).to_pylist() for i in (3, 4, 5))
+            different = dict(zip(keys, forms, strict=True))
+            made = dict(zip(different, shingles(list(different.values()), q), strict=True))
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                group = tuple(groups[a])
+                if group != last:
                     if len(held[0]) > 1:
-                        out += forest(held[0], held[2], held[1], q, similarity)
-                    held, last = [[], [], []], (band, t0, t1)
-                for column, x in zip(held, row, strict=True):
-                    column.append(x)
+                        out += forest(*held, similarity)
+                    held, last = [[], [], []], group
+                held[0] += keys[a:b]
+                held[1] += [made[k] for k in keys[a:b]]
+                held[2] += sides[a:b]
             if len(out) > 10_000:
                 yield flushed()
         if len(held[0]) > 1:
-            out += forest(held[0], held[2], held[1], q, similarity)
+            out += forest(*held, similarity)
         if out:
             yield flushed()
 
@@ -231,16 +278,20 @@ def _verify(q: int, similarity: float):
 
 def links(lines: DataFrame, rows: DataFrame, scratch: Scratch, *, q: int = SHINGLE, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
     """Verified links (a, b) between lines (lk, bands)."""
-    pairs = lines.filter(F.size("bands") > 0).select("lk", F.explode("bands").alias("band"))
+    signed = lines.filter(F.size("bands") > 0).select("lk", "bands")
+    pairs = signed.select("lk", F.explode("bands").alias("band"))
     short = F.xxhash64("lk")
     shared = pairs.groupBy("band").agg(F.min(short).alias("x"), F.max(short).alias("y")).filter("x <> y").select("band")
     shared = scratch.write(shared, "bands")
     held = key_filter(shared, "band")
 
     def hot(batch: pa.RecordBatch):
-        yield batch.filter(pa.array(passes(np.asarray(batch.column(1)), load_filter(held))))
+        band = np.asarray(batch.column(1).flatten())
+        at = np.flatnonzero(passes(band, load_filter(held)))
+        row = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(batch.column(1).offsets)))[at]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(band[at])], ["lk", "band"])
 
-    members = map_arrow(pairs, hot, "lk binary, band long").join(shared, "band", "left_semi").distinct()
+    members = map_arrow(signed, hot, "lk binary, band long").join(shared, "band", "left_semi").distinct()
     members = scratch.write(members, "members")
     # buckets with the same members need one verification
     marks = members.groupBy("band").agg(F.count("*").alias("n"), F.sum(F.xxhash64("lk").cast("decimal(38,0)")).alias("mark"), F.bit_xor(F.xxhash64(F.lit(1), "lk")).alias("mark2"))
@@ -259,10 +310,13 @@ def removals(rows: DataFrame, scratch: Scratch, *, q: int = SHINGLE, similarity:
     """did, th, gone (positions of lines that another line of their component precedes)."""
     lines = scratch.write(_occurrences(rows, q, bands, band_rows), "lines")
     roots = components(scratch.write(links(lines, rows, scratch, q=q, similarity=similarity, tile=tile), "links"), scratch)
-    placed = lines.select("did", "th", "pos", "lk").join(roots.withColumnRenamed("node", "lk"), "lk", "left")
-    placed = scratch.write(placed.select("did", "th", "pos", F.coalesce("root", "lk").alias("root")), "placed")
-    first = placed.groupBy("root").agg(F.min(F.struct("did", "th", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    gone = placed.join(first, "root").filter(F.struct("did", "th", "pos") != F.col("first"))
+    place = F.struct("did", "th", "pos")
+    met = lines.groupBy("lk").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    named = met.join(roots.withColumnRenamed("node", "lk"), "lk", "left").filter("root is not null or n > 1")
+    named = scratch.write(named.select("lk", F.coalesce("root", "lk").alias("root"), "first", "n"), "named")
+    firsts = scratch.write(named.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("n")).filter("n > 1").drop("n"), "firsts")
+    hot = scratch.write(named.select("lk", "root").join(firsts, "root").select("lk", "first"), "hot")
+    gone = lines.select("did", "th", "pos", "lk").join(hot, "lk").filter(place != F.col("first"))
     return scratch.write(gone.groupBy("did", "th").agg(F.collect_set("pos").alias("gone")), "gone")
 
 
