@@ -126,7 +126,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", te
     """did, th, item_id, score: the best alignment of each document with each item that a seed found in it."""
     scratch = scratch or Scratch(docs.sparkSession, "decontaminate")
     items = scratch.write(items_of(benchmark, item_col, item_text_col, n), "items")
-    seeds = items.select("item_id", F.explode("seeds").alias("h")).distinct()
+    seeds = scratch.write(items.select("item_id", F.explode("seeds").alias("h")).distinct(), "seeds")
     shape = items.agg(F.max(F.size("words")), F.sum(F.size("seeds"))).first()
     held = key_filter(seeds, "h")
     found = scratch.write(_passages(prepared(docs, id_col, text_col), held, shape[0] or 0, n), "passages")

@@ -301,7 +301,7 @@ def links(lines: DataFrame, rows: DataFrame, scratch: Scratch, *, q: int = SHING
     mine = F.pmod(F.xxhash64(F.lit(2), "lk"), tiles).cast("int")
     dealt = members.select("lk", "band", mine.alias("t"), tiles.alias("tiles")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     dealt = dealt.select("lk", "band", F.least("t", "o").alias("t0"), F.greatest("t", "o").alias("t1"), F.when(F.col("t") <= F.col("o"), 0).otherwise(1).alias("side"))
-    texts = _texts(rows, members.select("lk").distinct())
+    texts = _texts(rows, scratch.write(members.select("lk").distinct(), "wanted"))
     rows = dealt.join(texts, "lk").select("band", "t0", "t1", "lk", "side", "form").repartition("band", "t0", "t1").sortWithinPartitions("band", "t0", "t1")
     return rows.mapInArrow(_verify(q, similarity), "a binary, b binary").distinct()
 

@@ -220,6 +220,7 @@ def links(rows: DataFrame, scratch: Scratch, *, words: int = WORDS, similarity:
     dealt = scratch.write(_once(dealt, ["g", "t0", "t1"]).drop("n"), "dealt")
 
     wanted = placed.select("did", "th", "lk").join(dealt.select("lk").distinct(), "lk", "left_semi").groupBy("lk").agg(F.min(F.struct("did", "th")).alias("r"))
+    wanted = scratch.write(wanted, "wanted")
     read = key_filter(wanted.select(F.xxhash64("r.did", "r.th").alias("k")), "k")
 
     def wholes(batch: pa.RecordBatch):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,11 +16,13 @@ from .kernel import as_signed, mix64
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A local one is made only where the session names none (tests)."""
+    """The folder that driver and executors share. Where the session names none, a local one is made if all runs in one process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         set_dir = spark.sparkContext.getCheckpointDir()
         if not set_dir:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lakeloom-"))
             set_dir = spark.sparkContext.getCheckpointDir()
         root = set_dir
@@ -40,6 +43,10 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def drop(self, name: str, count: int) -> None:
+        """Deletes the table that write() made as the count-th."""
+        self.delete(f"{self.root}/{name}-{count}")
+
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
@@ -48,20 +55,21 @@ class Scratch:
         hadoop_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
-#: Bits of a prefilter: a fixed size, so that what is broadcast never grows with the data. A full filter lets more
-#: rows through to the exact join behind it and loses none.
-FILTER_BITS = 1 << 26
+#: Least and most bits of a prefilter, and bits for each key in between: what is broadcast has a bound. A filter that is too
+#: small for its keys lets more rows through to the exact join behind it and loses none.
+LEAST_BITS, MOST_BITS, KEY_BITS = 1 << 18, 1 << 28, 16
 
 
-def filter_bits(keys: np.ndarray, bits: int = FILTER_BITS) -> tuple[np.ndarray, np.ndarray]:
+def filter_bits(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Two bit positions for each 64-bit key."""
     h = mix64(keys.view(np.uint64) if keys.dtype == np.int64 else keys.astype(np.uint64))
     return (h % np.uint64(bits)).astype(np.int64), ((h >> np.uint64(32)) % np.uint64(bits)).astype(np.int64)
 
 
-def key_filter(df: DataFrame, column: str, bits: int = FILTER_BITS):
-    """A broadcast bitmap of fixed size in which every key of the column (bigint) has its two bits set."""
+def key_filter(df: DataFrame, column: str, most: int = MOST_BITS):
+    """A broadcast bitmap in which every key of the column (bigint) has its two bits set. df is counted, so it should be a written table."""
     spark = df.sparkSession
+    bits = min(most, max(LEAST_BITS, 1 << (KEY_BITS * max(1, df.count()) - 1).bit_length()))
 
     def to_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -104,8 +112,8 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def split_rows(df: DataFrame, columns: tuple[str, str], wanted: DataFrame, then=None, schema=None) -> tuple[DataFrame, DataFrame]:
     """Rows whose key may be among those of `wanted` (two columns), and those whose key is surely not, all columns kept.
 
-    The filter has a fixed size, so only rows that a join is to change are shuffled by it. `then` maps the batches of the
-    second kind to `schema` in the same pass.
+    The filter has a bounded size, and only rows that a join is to change are shuffled by it. `then` maps the batches of the
+    second kind to `schema` in the same pass. `wanted` should be a written table.
     """
     held = key_filter(wanted.select(F.xxhash64(*wanted.columns[:2]).alias("k")), "k")
     marked = df.withColumn("__loom_k", F.xxhash64(*columns))
@@ -132,18 +140,19 @@ def without(docs: DataFrame, bad: DataFrame, id_col: str, text_col: str) -> Data
     return some.join(bad, list(KEY), "left_anti").select(none.columns).union(none).drop(*KEY)
 
 
-def components(edges: DataFrame, scratch: Scratch, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Connected components of edges (a, b) of any sortable type: (node, root), root the smallest reachable node.
 
     Alternating large-star and small-star steps (distributed union-find). Each round is two aggregations with partial
     sums and two equi-joins, which adaptive execution splits where a node has very many neighbours. Nodes without an
-    edge to another node are absent. The edges of each round are a written table, so lineage stays short.
+    edge to another node are absent. The edges of each round are a written table, so lineage stays short; those of rounds
+    before the last are deleted. The rounds go on until nothing changes, about the logarithm of the largest component's diameter.
     """
     e = scratch.write(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
     if e.isEmpty():
         return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    last = None
-    for _ in range(rounds):
+    last, was = None, scratch.count
+    while True:
         # large-star: each larger neighbour links to the smallest of the closed neighbourhood
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -156,9 +165,8 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 40) -> DataFram
         sign = e2.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if last == tuple(sign):
             break
-        last, e = tuple(sign), e2
-    else:
-        raise RuntimeError("components did not settle")
+        scratch.drop("edges", was)
+        last, e, was = tuple(sign), e2, scratch.count
     return e2.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root").union(e2.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
