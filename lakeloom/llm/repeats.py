@@ -124,6 +124,36 @@ def placements(rows: DataFrame, shared: DataFrame, units: Units, scratch: Scratc
     return scratch.write(found.join(shared, "fp", "left_semi"), "placed")
 
 
+def shared_runs(rows: DataFrame, scratch: Scratch, words: int, gram: int) -> DataFrame:
+    """did, th, n_elsewhere: runs of `gram` words in a document that stand in another one, too, counted at the anchors of windows of `words`.
+
+    A document that shares `words` words in a row with another one has one at least; one that shares fewer than `gram` has none.
+    """
+    units = Units(words, gram, True)
+
+    def of_batch(batch: pa.RecordBatch):
+        for lo, _, buf, _, _, first, hashes in units.views(batch.column(2)):
+            row, _, _, _, fp = stretches(buf, first, hashes, units)
+            if len(fp):
+                order = np.lexsort((fp, row))
+                row, fp = row[order], fp[order]
+                new = np.r_[True, (row[1:] != row[:-1]) | (fp[1:] != fp[:-1])]
+                at = pa.array(lo + row[new])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(as_signed(fp[new]))], ["did", "th", "fp"])
+
+    anchors = scratch.write(map_arrow(rows.select("did", "th", "text"), of_batch, "did long, th long, fp long"), "anchors")
+    key = F.xxhash64("did", "th")
+    shared = anchors.groupBy("fp").agg(F.min(key).alias("x"), F.max(key).alias("y")).filter("x <> y").select("fp")
+    shared = scratch.write(shared, "elsewhere")
+    held = key_filter(shared, "fp")
+
+    def hot(batch: pa.RecordBatch):
+        yield batch.filter(pa.array(passes(np.asarray(batch.column(2)), load_filter(held))))
+
+    found = map_arrow(anchors, hot, "did long, th long, fp long").distinct().join(shared, "fp", "left_semi")
+    return found.groupBy("did", "th").agg(F.count("*").alias("n_elsewhere"))
+
+
 def contents(rows: DataFrame, reps: DataFrame, units: Units, scratch: Scratch) -> DataFrame:
     """reps (did, th, s, n, and more) with column content: the bytes of the stretch, and cuts: the first byte of each of its units."""
     more = [c for c in reps.columns if c not in ("did", "th")]
@@ -198,16 +228,23 @@ def merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo[new], hi[np.r_[new[1:], len(lo)] - 1]
 
 
-def finish(rows: DataFrame, spans: DataFrame, units: Units, texts_too: bool = False) -> DataFrame:
-    """Rows with their spans (did, th, b0, b1 in units) removed: doc_id, n_units, n_removed, n_spans, kept_sha256 (and kept).
+def finish(rows: DataFrame, spans: DataFrame, units: Units, scratch: Scratch, texts_too: bool = False, elsewhere: DataFrame | None = None) -> DataFrame:
+    """Rows with their spans (did, th, b0, b1 in units) removed: doc_id, n_units, n_removed, n_spans, kept_sha256, n_elsewhere (and kept).
 
-    Rows without spans never leave their task. Exact repetitions of a row share its spans.
+    Rows without spans never leave their task. Exact repetitions of a row share its spans. elsewhere: n_elsewhere by did, th; else it is 0.
     """
-    per_doc = spans.groupBy("did", "th").agg(F.collect_list(F.struct("b0", "b1")).alias("spans"))
+    # rows that share a key (a null id and a text) have the same spans
+    per_doc = spans.groupBy("did", "th").agg(F.collect_set(F.struct("b0", "b1")).alias("spans"))
+    if elsewhere is not None:
+        per_doc = per_doc.join(elsewhere, ["did", "th"], "full_outer")
+    else:
+        per_doc = per_doc.withColumn("n_elsewhere", F.lit(None).cast("long"))
+    per_doc = scratch.write(per_doc, "spans_of")
 
     def of_batch(batch: pa.RecordBatch):
         lists = batch.column(3) if batch.num_columns > 3 else None
-        out = {"n_units": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "kept": []}
+        more = batch.column(4).to_pylist() if batch.num_columns > 4 else None
+        out = {"n_units": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "n_elsewhere": [], "kept": []}
         for lo, hi, buf, starts, ends, first, _ in units.views(batch.column(2)):
             raw = buf.tobytes()
             for r in range(hi - lo):
@@ -225,14 +262,15 @@ def finish(rows: DataFrame, spans: DataFrame, units: Units, texts_too: bool = Fa
                 out["n_removed"].append(int(sum(b) - sum(a)) if got else 0)
                 out["n_spans"].append(len(a))
                 out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
+                out["n_elsewhere"].append(more[lo + r] or 0 if more else 0)
                 out["kept"].append(kept if texts_too else None)
         did = batch.column(0)
         ids = pa.array([None if x == NO_ID else x for x in did.to_pylist()], pa.int64())
-        columns = [ids, *(pa.array(out[c], pa.int64()) for c in ("n_units", "n_removed", "n_spans")), pa.array(out["kept_sha256"], pa.string()), pa.array(out["kept"], pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_units", "n_removed", "n_spans", "kept_sha256", "kept"])
+        columns = [ids, *(pa.array(out[c], pa.int64()) for c in ("n_units", "n_removed", "n_spans")), pa.array(out["kept_sha256"], pa.string()), pa.array(out["n_elsewhere"], pa.int64()), pa.array(out["kept"], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_units", "n_removed", "n_spans", "kept_sha256", "n_elsewhere", "kept"])
 
-    schema = "doc_id long, n_units long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    schema = "doc_id long, n_units long, n_removed long, n_spans long, kept_sha256 string, n_elsewhere long, kept binary"
     some, done = split_rows(rows, ("did", "th"), per_doc.select("did", "th"), of_batch, schema)
-    joined = some.join(per_doc, ["did", "th"], "left").select("did", "th", "text", "spans")
+    joined = some.join(per_doc, ["did", "th"], "left").select("did", "th", "text", "spans", "n_elsewhere")
     done = map_arrow(joined, of_batch, schema).union(done)
     return done if texts_too else done.drop("kept")

@@ -110,8 +110,8 @@ def repeated_spans(rows: DataFrame, units: Units, batches: int, scratch: Scratch
 
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, batches: int = BATCHES, texts_too: bool = False) -> DataFrame:
-    """doc_id, n_units (words), n_removed, n_spans, kept_sha256 (and kept) of each row."""
+    """doc_id, n_units (words), n_removed, n_spans, kept_sha256, n_elsewhere (0) (and kept) of each row."""
     units = Units(window, gram, True)
     scratch = Scratch(docs.sparkSession, "substring")
     rows = prepared(docs, id_col, text_col)
-    return finish(rows, repeated_spans(rows, units, batches, scratch), units, texts_too)
+    return finish(rows, repeated_spans(rows, units, batches, scratch), units, scratch, texts_too)

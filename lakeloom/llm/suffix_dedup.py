@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .lcp_merge import LoserTree, common_prefix, pack_run, unpack_run
-from .repeats import Units, anchor_counts, contents, finish, placements, prepared, window_digests
+from .repeats import Units, anchor_counts, contents, finish, placements, prepared, shared_runs, window_digests
 from .shared import Scratch, map_arrow
 
 WINDOW = 400
@@ -32,6 +32,8 @@ GROUP = 2048
 #: Bytes of strings that a task sorts into one set of runs, and that a merging task gets on average.
 RUN_BYTES = 8 << 20
 MERGE_BYTES = 16 << 20
+#: Words of a passage that a window of bytes may be too long for, and of the runs by which such passages are found.
+PASSAGE, PASSAGE_GRAM = 51, 40
 #: Strings up to which a group is compared pair by pair.
 _PAIRS = 12
 
@@ -155,9 +157,13 @@ def repeated_spans(rows: DataFrame, units: Units, group: int, scratch: Scratch)
     return scratch.write(decided.union(sorted_spans).union(large_spans), "spans")
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, group: int = GROUP, texts_too: bool = False) -> DataFrame:
-    """doc_id, n_units (bytes), n_removed, n_spans, kept_sha256 (and kept) of each row."""
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, group: int = GROUP, texts_too: bool = False, passages: bool = False) -> DataFrame:
+    """doc_id, n_units (bytes), n_removed, n_spans, kept_sha256, n_elsewhere (and kept) of each row.
+
+    With `passages`, n_elsewhere counts the runs of PASSAGE_GRAM words that another document has, too (see repeats.shared_runs); else it is 0.
+    """
     units = Units(window, gram, False)
     scratch = Scratch(docs.sparkSession, "suffix")
     rows = prepared(docs, id_col, text_col)
-    return finish(rows, repeated_spans(rows, units, group, scratch), units, texts_too)
+    elsewhere = shared_runs(rows, scratch, PASSAGE, PASSAGE_GRAM) if passages else None
+    return finish(rows, repeated_spans(rows, units, group, scratch), units, scratch, texts_too, elsewhere)

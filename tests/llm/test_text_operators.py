@@ -142,6 +142,25 @@ def test_suffix_dedup_of_short_windows(docs, corpus, none):
     assert not suffix_dedup.dedup(none).count()
 
 
+def test_passages_elsewhere(spark):
+    """Every document that shares 51 words in a row with another one is told, none that shares fewer than 40."""
+    rng = random.Random(4)
+    text = lambda n: [f"{rng.choice('abcdefgh')}{rng.randrange(10**5)}" for _ in range(n)]
+    shared, docs, want = [text(60) for _ in range(12)], [], {}
+    for i in range(60):
+        n = rng.choice((30, 39, 51, 55, 60))
+        w = text(rng.randint(0, 80))
+        at = rng.randrange(len(w) + 1)
+        docs.append((i, " ".join(w[:at] + shared[i % 12][:n] + w[at:])))
+        want[i] = n
+    docs += [(100, docs[0][1]), (101, None), (102, ""), (None, "x y")]
+    got = {r.doc_id: r.n_elsewhere for r in suffix_dedup.dedup(spark.createDataFrame(docs, "doc_id long, text string"), passages=True).collect()}
+    for k in range(12):
+        long = [i for i in range(k, 60, 12) if want[i] >= 51]
+        assert all(got[i] > 0 for i in long) if len(long) > 1 else True
+    assert all(got[i] == 0 for i in range(60) if want[i] < 40 and i) and not got[101] and not got[102] and not got[None]
+
+
 def test_loser_tree_merges_and_knows_prefixes():
     rng = random.Random(1)
     items = [(bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 12))), i) for i in range(300)]
