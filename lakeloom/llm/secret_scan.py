@@ -1,9 +1,10 @@
 """Secret scan: three base patterns, and windows of high Shannon entropy inside candidate strings.
 
-A candidate is a run of at least MIN_RUN token characters with a digit and a letter. For each character class a window
+A candidate is a run of at least MIN_RUN token characters with a letter. For each character class a window
 slides over the candidate's runs of that class; the sum of c*log2(c) over the counts c is kept up to date from the two
 characters that enter and leave, so each step costs the same whatever the window. Windows above the class's threshold are
-merged into spans of kind `entropy`. The allow-list suppresses such spans (never base ones), as does a base span they touch.
+merged into spans of kind `entropy`. The allow-list suppresses windows that overlap what it matches and candidates that it
+matches as a whole, never base spans; a base span suppresses the entropy spans that touch it.
 
 Defined results: a null text is empty; every row returns one row, whatever its id, repeated rows too; offsets are code
 points of the whole text, ends exclusive; an empty table gives an empty result; other columns are ignored.
@@ -35,19 +36,20 @@ CLASSES = (
     ("base36", re.compile(r"[0-9A-Z]+|[0-9a-z]+"), 20, 3.6),
     ("base64", re.compile(r"[A-Za-z0-9+/_=-]+"), 20, 3.8),
 )
-#: Strings that look random and are no secrets.
-ALLOW = tuple(
+_WORD = r"(?:(?:[A-Z]?[a-z]{2,}+)+|[A-Z][a-z]*|[a-z]+|[A-Z]+)"
+#: Strings that look random and are no secrets. Those of the first kind hide the windows that overlap them.
+ALLOW_INSIDE = tuple(
     re.compile(p)
     for p in (
         r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}",
-        r"(?i)example|sample|placeholder|changeme|xxxx|redacted",
-        r"(?i)0123456789|abcdefghij|qwertyuiop",
-        r"(?i)sha(1|224|256|384|512)[-_=]",
-        r"^[A-Za-z]+([/_=-][A-Za-z]+)*$",
-        r"^[0-9_=/+-]+$",
+        r"(?i)example|sample|placeholder|changeme|xxxx+|redacted",
+        r"(?i)0123456789|abcdefghij[a-z]*|qwertyuiop",
+        r"(?i)sha(?:1|224|256|384|512)[-_=:][0-9a-z+/=]*",
     )
 )
-#: Characters on either side of a candidate that the allow-list sees as well.
+#: Those of the second kind hide a candidate that they match from end to end: words, and digits with punctuation.
+ALLOW_WHOLE = (re.compile(rf"{_WORD}(?:[/_=+-]+{_WORD})*+[/_=+-]*"), re.compile(r"[0-9_=/+-]+"))
+#: Characters on either side of a candidate in which an allowed string may begin or end.
 ALLOW_CONTEXT = 8
 KINDS = ("assign", "access", "hex", "entropy")
 
@@ -87,24 +89,26 @@ def window_entropies(run: str, width: int) -> list[float]:
 def entropy_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     out = []
     for m in CANDIDATE.finditer(text):
-        word = m.group()
-        if not (any(c.isdigit() for c in word) and any(c.isalpha() for c in word)):
-            continue
-        around = text[max(0, m.start() - ALLOW_CONTEXT) : m.end() + ALLOW_CONTEXT]
-        if any(a.search(word) or a.search(around) for a in ALLOW[:4]) or any(a.search(word) for a in ALLOW[4:]):
+        word, base = m.group(), m.start()
+        if not any(c.isalpha() for c in word) or any(a.fullmatch(word) for a in ALLOW_WHOLE):
             continue
+        lo = max(0, base - ALLOW_CONTEXT)
+        allowed = [(lo + a.start() - base, lo + a.end() - base) for rule in ALLOW_INSIDE for a in rule.finditer(text[lo : m.end() + ALLOW_CONTEXT])]
         marks = []
         for _, chars, width, bits in CLASSES:
             for run in chars.finditer(word):
-                marks += [(run.start() + i, run.start() + i + width) for i, h in enumerate(window_entropies(run.group(), width)) if h >= bits]
+                if run.end() - run.start() >= width:
+                    marks += [(run.start() + i, run.start() + i + width) for i, h in enumerate(window_entropies(run.group(), width)) if h >= bits]
         end = -1
         for lo, hi in sorted(marks):
+            if any(lo < y and x < hi for x, y in allowed):
+                continue
             if lo <= end:
                 end = max(end, hi)
-                out[-1] = (out[-1][0], 3, m.start() + end)
+                out[-1] = (out[-1][0], 3, base + end)
             else:
                 end = hi
-                out.append((m.start() + lo, 3, m.start() + hi))
+                out.append((base + lo, 3, base + hi))
     return [s for s in out if not any(s[0] < e and b < s[2] for b, _, e in taken)]
 
 
@@ -119,8 +123,7 @@ def spans_of(data: bytes | None) -> tuple[list[tuple[int, int, int]], list[tuple
     """Base spans and added spans of a text in UTF-8."""
     if not data:
         return [], []
-    digits = any(d in data for d in (b"0", b"1", b"2", b"3", b"4", b"5", b"6", b"7", b"8", b"9"))
-    look = digits and _needs_look(data)
+    look = _needs_look(data)
     low = data.lower()
     if not look and not any(h in low for h in ASSIGN_HINTS) and b"AKIA" not in data and b"h" * 24 not in data.translate(_HEX_MARK):
         return [], []
