@@ -8,7 +8,7 @@ ranges that TOXIC_CUTS cut from their number of telling toxic features. Scoring
 
 Defined results: a null or empty text has no feature and so the severity of the intercept; every row returns one row,
 repeated rows and null ids included; labels with a null id or class are ignored, of several labels of an id the most severe
-counts; without labels of both classes every severity is 0 and no row is toxic; other columns are ignored.
+counts, of several texts of a labelled id the model sees the smallest; without labels of both classes every severity is 0 and no row is toxic; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -106,7 +106,10 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     known = labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col("toxic").cast("int").alias("toxic")).dropna().groupBy("label_id").agg(F.max("toxic").alias("toxic"))
     picked = [known.filter(cond).orderBy(F.xxhash64("label_id"), "label_id").limit(rows) for cond, rows in (("toxic > 0", toxic_rows), ("toxic <= 0", clean_rows))]
     sample = F.broadcast(picked[0].union(picked[1]))  # toxic_rows + clean_rows rows at most
-    texts = scratch.write(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(sample, F.col("doc_id") == F.col("label_id")).select("toxic", "text"), "sample")
+    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(sample, F.col("doc_id") == F.col("label_id"))
+    # one row for each id, so that an id that is repeated does not outgrow the sample; null texts come last
+    texts = found.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
+    texts = scratch.write(texts.select("toxic", "text"), "sample")
 
     def class_counts(batch: pa.RecordBatch):
         toxic = np.asarray(batch.column(0)) > 0
