@@ -12,7 +12,8 @@ get posteriors of 0 and 1. Targets that no mixture can reach are met as closely
 
 Defined results: null and empty texts have no tokens, the prior as posteriors, and the starting rate 1 cut like others; every
 row returns one row, whatever its id; labels with a null in id or class are ignored, of several labels of an id the
-largest class counts; without labels the posteriors are equal; without tokens all rates stay 1; other columns are kept.
+largest class counts; without labels the posteriors are equal; without tokens all rates stay 1; other columns are kept, but a
+column of docs named n_tokens, p or rate gives way to the result's; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -78,16 +79,15 @@ def posteriors(docs: DataFrame, model: tuple[list[float], list[list[float]]], te
     """docs with n_tokens and p (array of posteriors); no shuffle."""
     prior, likely = model
     table = lambda k: F.expr("array(" + ",".join(f"{x!r}D" for x in likely[k]) + ")")
-    spot = F.col("_buckets")
-    rows = docs.withColumn("_buckets", buckets(F.col(text_col)))
-    n = F.size(spot).cast("long")
-    sums = [_summed(spot, table(k)) for k in range(len(DOMAINS))]
-    rows = rows.withColumns({"n_tokens": n} | {f"_s{k}": F.lit(prior[k]) + s * (EVIDENCE / (EVIDENCE + n)) for k, s in enumerate(sums)})
-    top = F.greatest(*(F.col(f"_s{k}") for k in range(len(DOMAINS))))
-    rows = rows.withColumns({f"_e{k}": F.exp(F.col(f"_s{k}") - top) for k in range(len(DOMAINS))})
-    whole = sum((F.col(f"_e{k}") for k in range(1, len(DOMAINS))), F.col("_e0"))
-    rows = rows.withColumn("p", F.array(*(F.col(f"_e{k}") / whole for k in range(len(DOMAINS)))))
-    return rows.drop("_buckets", *(f"_{c}{k}" for k in range(len(DOMAINS)) for c in "se"))
+    spots, sums, parts = "__loom_spots", "__loom_sums", "__loom_parts"
+    rows = docs.drop("n_tokens", "p", "rate").withColumn(spots, buckets(F.col(text_col)))
+    n = F.size(spots).cast("long")
+    each = [F.lit(prior[k]) + _summed(F.col(spots), table(k)) * (EVIDENCE / (EVIDENCE + n)) for k in range(len(DOMAINS))]
+    rows = rows.withColumns({"n_tokens": n, sums: F.array(*each)})
+    rows = rows.withColumn(parts, F.transform(sums, lambda x: F.exp(x - F.array_max(sums))))
+    whole = sum((F.get(parts, F.lit(k)) for k in range(1, len(DOMAINS))), F.get(parts, F.lit(0)))
+    rows = rows.withColumn("p", F.transform(parts, lambda x: x / whole))
+    return rows.drop(spots, sums, parts)
 
 
 def rate(moves: list[list[float]]) -> Column:
@@ -128,10 +128,11 @@ def fit_rates(rows: DataFrame, targets: dict[str, float], rounds: int = ROUNDS)
     return moves[:best_moves]
 
 
-def mix(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, float] | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """docs with n_tokens, p (posteriors in the order of DOMAINS) and rate."""
+def mix(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", targets: dict[str, float] | None = None, rounds: int = ROUNDS, keep: list[str] | None = None) -> DataFrame:
+    """docs (all columns, or those of `keep`) with n_tokens, p (posteriors in the order of DOMAINS) and rate."""
     scratch = Scratch(docs.sparkSession, "mixing")
     model = train(docs, labels, id_col=id_col, text_col=text_col)
-    light = scratch.write(posteriors(docs.select(text_col), model, text_col).select("n_tokens", "p"), "posteriors")
-    moves = fit_rates(light, targets or TARGETS, rounds)
-    return posteriors(docs, model, text_col).withColumn("rate", rate(moves))
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in ("n_tokens", "p", "rate")]
+    # written once, so that the texts are cut into words once
+    rows = scratch.write(posteriors(docs, model, text_col).select(*kept, "n_tokens", "p"), "posteriors")
+    return rows.withColumn("rate", rate(fit_rates(rows, targets or TARGETS, rounds)))

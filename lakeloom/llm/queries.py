@@ -52,7 +52,7 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    found = mixing.mix(_table(spark, folder, "documents").select("doc_id", "text"), _table(spark, folder, "labels"))
+    found = mixing.mix(_table(spark, folder, "documents").select("doc_id", "text"), _table(spark, folder, "labels"), keep=["doc_id"])
     each = [F.get("p", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(mixing.DOMAINS)]
     return found.select("doc_id", "n_tokens", *each, "rate")
 
