@@ -3,8 +3,8 @@
 The codebooks are fitted on a bounded sample with the anisotropic loss |r|^2 + (eta - 1) <r, x/|x|>^2, which weighs the
 part of a residual r along its vector eta times as much as the part across it, as only the former changes the inner products
 of near queries. Codes are assigned by coordinate descent over the subspaces, centers by the loss's normal equations. Every
-vector is coded; blocks of codes are scanned with the tables of blocks of queries, and the best of each block are
-scored exactly in double precision on the original vectors. Queries meet all rows in blocks by an equi-join on a
+vector is coded; blocks of codes are scanned with the tables of blocks of queries, and the best of each block, and all whose
+table score comes within the measured error of these of the k-th best, are scored exactly in double precision on the original vectors. Queries meet all rows in blocks by an equi-join on a
 group number, so no side is broadcast and a block pair is one bounded piece of work.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, vectors of another
@@ -190,14 +190,22 @@ def search(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "emb
                 approx = np.zeros((len(q[i : i + 32]), len(u)), np.float32)
                 for j in range(codes.shape[1]):
                     approx += tables[i : i + 32, j].take(codes[:, j], axis=1)
-                best = np.argpartition(-approx, rerank - 1, axis=1)[:, :rerank] if len(u) > rerank else np.broadcast_to(np.arange(len(u)), approx.shape)
-                exact = (u[best] * q[i : i + 32, None, :]).sum(axis=-1)
-                for n in range(len(best)):
-                    order = np.lexsort((ids[begins[best[n]]], -exact[n]))[: k + 1]
-                    pick = best[n][order]
+                few = np.argpartition(-approx, rerank - 1, axis=1)[:, :rerank] if len(u) > rerank else np.broadcast_to(np.arange(len(u)), approx.shape)
+                exact = (u[few] * q[i : i + 32, None, :]).sum(axis=-1)
+                for n in range(len(few)):
+                    best, scores = few[n], exact[n]
+                    if len(u) > rerank:
+                        # what the tables put within their measured error of the k-th best so far is scored, too
+                        error = np.abs(scores - approx[n, best]).max()
+                        enough = min(k + 1, len(scores))
+                        near = np.flatnonzero(approx[n] >= np.partition(scores, -enough)[-enough] - error)
+                        best = np.union1d(best, near)
+                        scores = (u[best] * q[i + n]).sum(axis=-1)
+                    order = np.lexsort((ids[begins[best]], -scores))[: k + 1]
+                    pick = best[order]
                     size = counts[pick]
                     at = np.repeat(begins[pick] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
-                    vid, score = ids[at], np.repeat(exact[n][order], size)
+                    vid, score = ids[at], np.repeat(scores[order], size)
                     keep = vid != qids[i + n]
                     vid, score = vid[keep], score[keep]
                     order = np.lexsort((vid, -score))[:k]
