@@ -55,6 +55,27 @@ def test_toxicity(spark):
     assert kept.columns == table.columns and kept.count() == sum(r.toxic == 0 for r in got)
 
 
+def test_toxicity_sample_is_bounded_by_rows(spark):
+    """An id that stands in many rows is one row of the sample."""
+    docs, labels = _toxic_corpus(120)
+    table = spark.createDataFrame([(i, t) for i, t, _ in docs] + [(3, f"copy {k}") for k in range(3000)], "doc_id long, text string")
+    seen, real = [], toxicity.fit
+    toxicity.fit = lambda rows, feats, values, grades, *a, **k: seen.append(len(grades)) or real(rows, feats, values, grades, *a, **k)
+    try:
+        toxicity.train(table, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    finally:
+        toxicity.fit = real
+    assert seen == [120]
+
+
+def test_toxicity_of_empty_and_very_long_texts(spark, none):
+    docs, labels = _toxic_corpus(120)
+    model = toxicity.train(spark.createDataFrame([(i, t) for i, t, _ in docs], "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert not toxicity.score(none, model).count()
+    long = spark.createDataFrame([(1, "idiot scumbag vile " * 100_000), (2, "w1 w2 w3 " * 200_000)], "doc_id long, text string")
+    assert {r.doc_id: r.toxic for r in toxicity.score(long, model).collect()} == {1: 1, 2: 0}
+
+
 def test_toxicity_without_labels(spark, docs):
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert toxicity.train(docs, empty) is None
@@ -102,6 +123,33 @@ def test_ann_recall_and_scores(spark):
     assert hits / (20 * len(by)) > 0.95
 
 
+def test_ann_recall_in_a_tight_cluster(spark):
+    """A third of the rows in one cluster: the codes hardly tell its members apart, the exact scores do."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1800, 32))
+    x[:600] = x[0] + rng.normal(size=(600, 32)) * 0.02
+    table = spark.createDataFrame([(i, v.tolist(), "clash", 1.0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, query_id string, score double")
+    got = {}
+    for r in ann.search(table, block=1024, rerank=32).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, 1800, 20):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len(got[q] & set(np.argsort(-score)[:20].tolist()))
+    assert hits / (20 * 90) > 0.97
+
+
+def test_ann_of_very_long_vectors(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(40, 3000))
+    got = {(r.query_id, r["rank"]): r.vec_id for r in ann.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    for q in (0, 20):
+        score = x @ x[q]
+        score[q] = -np.inf
+        assert [got[q, r] for r in range(1, 21)] == np.argsort(-score)[:20].tolist()
+
+
 def test_ann_edges(spark):
     table = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (20, [0.0, 1.0])], "vec_id long, embedding array<float>")
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.search(table).collect())
@@ -136,6 +184,37 @@ def test_mixing_agrees_with_plain_projection(spark):
     assert np.allclose(spark_r, r)
 
 
+def test_mixing_keeps_other_columns(spark, none):
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame([(1, "a b " * 50_000, 0.5, "x", 7, "y"), (2, None, 0.5, None, 8, "z"), (2, None, 0.5, None, 8, "z")], "doc_id long, text string, p double, _s0 string, rate int, _buckets string")
+    out = mixing.mix(docs, labels)
+    assert set(out.columns) == {*docs.columns, "n_tokens"} and dict(out.dtypes)["p"] == "array<double>"
+    assert sorted((r.doc_id, r._s0, r._buckets, r.n_tokens) for r in out.collect() if r._s0) == [(1, "x", "y", 100_000)] and out.count() == 3
+    assert not mixing.mix(none, labels).count() and mixing.mix(docs, labels.limit(0)).count() == 3
+
+
+def test_mixing_posteriors_are_those_of_naive_bayes(spark):
+    """Against a plain classifier over words, buckets taken from Spark's hash."""
+    docs, labels = _toxic_corpus(60)
+    table = spark.createDataFrame([(i, t) for i, t, _ in docs], "doc_id long, text string")
+    labels = [(i, i % 2, t) for i, _, t in labels[:40]]
+    out = {r.doc_id: r for r in mixing.mix(table, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    words = sorted({w for _, t, _ in docs for w in t.split()})
+    spot = {r.w: r.b for r in spark.createDataFrame([(w,) for w in words], "w string").selectExpr("w", f"pmod(xxhash64(w), {mixing.BUCKETS}) as b").collect()}
+    kind = {i: 2 if t else q for i, q, t in labels}
+    counts = np.full((3, mixing.BUCKETS), 0.5)
+    for i, t, _ in docs:
+        for w in t.split() if i in kind else ():
+            counts[kind[i], spot[w]] += 1
+    likely = np.log(counts / counts.sum(axis=1, keepdims=True))
+    prior = np.log((np.bincount(list(kind.values()), minlength=3) + 1) / (len(kind) + 3))
+    for i, t, _ in docs:
+        at = [spot[w] for w in t.split()]
+        s = prior + likely[:, at].sum(axis=1) * mixing.EVIDENCE / (mixing.EVIDENCE + len(at))
+        p = np.exp(s - s.max())
+        assert np.allclose(out[i].p, p / p.sum(), atol=1e-4)
+
+
 def test_mixing_runs_no_python_on_executors(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, "c d")], "doc_id long, text string")
     plan = mixing.mix(docs, spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int"))._jdf.queryExecution().executedPlan().toString()
@@ -245,6 +324,39 @@ def test_edited_leak_in_many_documents(spark):
     assert got[1000].best_score == (34 * 2 - 6) / 80
 
 
+def test_decontamination_agrees_with_alignment_of_all_pairs(spark):
+    """Against Smith-Waterman of each whole document with each item: what scores the threshold there is found, but for copies without a seed."""
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(200)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(i, text(rng.randint(4, 40))) for i in range(10)]
+    docs = [(i, text(rng.randint(0, 150)), "clash", 3) for i in range(30)]
+    for i in range(60):
+        w = items[i % 10][1].split()
+        for _ in range(rng.randint(0, 6)):
+            w[rng.randrange(len(w))] = "edited"
+        docs.append((100 + i, f"{text(rng.randint(0, 90))} {' '.join(w)} {text(20)}", "clash", 3))
+    docs.append((300, text(30_000) + " " + items[3][1], "clash", 3))
+    table = spark.createDataFrame(docs, "doc_id long, text string, item_id string, score int")
+    got = {r.doc_id: r for r in decontaminate.report(table, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    number = {w: k for k, w in enumerate([*words, "edited"])}
+    code = lambda t: np.array([number[w] for w in t.split()], np.int64)
+    found = missed = 0
+    for i, t, *_ in docs:
+        d = t.split()
+        for k, x in items:
+            if len(d) and decontaminate.smith_waterman(code(x), code(t)) / (2 * len(x.split())) >= decontaminate.THRESHOLD:
+                seeds = {tuple(x.split()[j : j + 4]) for j in range(len(x.split()) - 3)}
+                if seeds & {tuple(d[j : j + 4]) for j in range(len(d) - 3)}:
+                    assert k in got[i].item_ids
+                    found += 1
+                else:
+                    missed += 1
+            else:
+                assert k not in got[i].item_ids
+    assert found > 30 and missed <= 0.1 * found
+
+
 def test_alignments_of_many_passages():
     rng = np.random.default_rng(3)
     item = rng.integers(0, 6, 12)
@@ -307,6 +419,25 @@ def test_near_copies_in_small_tiles(spark):
     assert roots.select("root").distinct().count() == 1 and roots.count() == 60 and placed.count() == 61
 
 
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Null texts and ids, repeated rows, clashing columns; and empty tables."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, did string, score double"
+    rows = [(i, f"calm words number {i} of a text " + "idiot vile " * (6 if i % 3 == 0 else 0), "en", "s", 5, "d", 0.5) for i in range(30)]
+    rows += [(None, None, None, None, None, None, None), (None, "", "en", "s", 0, "d", 0.5), rows[1], rows[1], (99, "x " * 60_000, "en", "s", 9, "d", 0.5)]
+    for name, docs in (("some", rows), ("none", [])):
+        folder = str(tmp_path / name)
+        spark.createDataFrame(docs, schema).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(20) if docs], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([(1, "a benchmark item of some words"), (2, None)][: len(docs)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, folder)
+        assert {"doc_id", "text", "did", "score", "rate"} <= set(out.columns)
+        assert out.count() <= len(docs)
+        ids = [r.doc_id for r in out.collect()]
+        assert len(ids) == len(set(ids))
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
