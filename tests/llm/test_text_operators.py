@@ -68,10 +68,10 @@ def test_secret_entropy_and_allow_list():
     for calm in ("3f2504e0-4f89-11d3-9a0c-0305e82c3301", "0123456789abcdefghijklmnop", "averylongwordwithoutdigits", "getUserAccountSettingsAndDate", "some/path/to/a/long/file-name", "2024-01-01_12-30-00_000000"):
         assert not secret_scan.spans_of(f"x {calm} y".encode())[1], calm
     # the allow-list hides windows, not what stands beside them
-    for beside in (f"/example/{key}", f"3f2504e0-4f89-11d3-9a0c-0305e82c3301-{key}", f"AKIAEXAMPLE{key}"):
+    for beside in (f"/example/{key}", f"3f2504e0-4f89-11d3-9a0c-0305e82c3301-{key}", f"EXAMPLE{key}"):
         text = f"x {beside} y"
         more = secret_scan.spans_of(text.encode())[1]
-        assert more and text[more[0][0] : more[-1][2]] in key, beside
+        assert more and text[more[0][0] : more[-1][2]].strip("/-") in key, beside
     assert secret_scan.spans_of(b"x qZrwLxXvTnBkYcJdHmPsGfVe y")[1]  # no digit
     long = "q8Zr2LwX0vTn5BkYc7JdH3mP9sGf1aQe" * 3000
     assert secret_scan.spans_of(long.encode())[1] == [(0, 3, len(long))]
