@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import as_signed, list_array, mix64, rolling_hashes
+from .kernel import SPACED_LOWER_WORDS, as_signed, list_array, mix64, rolling_hashes, text_slices, words_of
 from .repeats import prepared
 from .shared import KEY, NO_ID, Scratch, components, key_filter, keyed, load_filter, map_arrow, passes, split_rows
 
@@ -30,44 +30,45 @@ SIMILARITY = 0.8
 BANDS, ROWS = 8, 4
 #: Lines of a bucket that one task compares with as many others.
 TILE = 2048
-#: Characters whose shingles are hashed at once.
+#: Bytes whose shingles are hashed at once.
 PART = 1 << 16
 #: Shingles of a line whose minimum is taken at once.
 STEP = 16
 #: Bits of the sketch that tells most unlike lines apart before their shingles are compared.
 SKETCH = 2048
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-
-
-def normal(line: str) -> str:
-    return b" ".join(line.encode("utf-8", "surrogatepass").translate(_LOWER).split()).decode("utf-8", "replace")
-
 
 _FACTORS = (mix64(np.arange(1, 129, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _OFFSETS = (mix64(np.arange(1001, 1129, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
 
-def _grams(lines: list[str], q: int):
-    """(first line, end line, hashes of the shingles, shingles of each line) of groups of lines of about PART characters.
+def _grams(data: np.ndarray, lengths: np.ndarray, q: int):
+    """(first line, end line, hashes of the shingles, shingles of each line) of groups of lines of about PART bytes.
 
-    A line shorter than a shingle is padded to one.
+    data: the UTF-8 bytes of the lines one after another. A line of fewer characters than a shingle is padded to one.
     """
+    ends = np.cumsum(lengths)
     i = 0
-    while i < len(lines):
-        j, size = i, 0
-        while j < len(lines) and (j == i or size + len(lines[j]) <= PART):
-            size += len(lines[j]) + q
-            j += 1
-        group = [x if len(x) >= q else x + "\0" * (q - len(x)) for x in lines[i:j]]
-        points = np.frombuffer("".join(group).encode("utf-32-le", "surrogatepass"), np.uint32)
-        lengths = np.array([len(x) for x in group])
-        ends = np.cumsum(lengths)
-        grams = rolling_hashes((points.astype(np.uint64) + np.uint64(77)) * np.uint64(0xD6E8FEB86659FD93), q)
+    while i < len(lengths):
+        from_byte = int(ends[i - 1]) if i else 0
+        j = max(i + 1, int(np.searchsorted(ends, from_byte + PART, "right")))
+        part = data[from_byte : ends[j - 1]]
+        sizes = lengths[i:j]
+        points = part.astype(np.uint64)
+        if len(part) and part.max() > 127:
+            sizes = np.add.reduceat((part & 0xC0) != 0x80, ends[i:j] - sizes - from_byte)
+            points = np.frombuffer(part.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(np.uint64)
+        if (sizes < q).any():
+            wide = np.maximum(sizes, q)
+            spots = np.arange(len(points)) + np.repeat(np.cumsum(wide) - wide - (np.cumsum(sizes) - sizes), sizes)
+            padded = np.zeros(int(wide.sum()), np.uint64)
+            padded[spots] = points
+            points, sizes = padded, wide
+        grams = rolling_hashes((points + np.uint64(77)) * np.uint64(0xD6E8FEB86659FD93), q)
         keep = np.ones(len(grams), bool)
+        cuts = np.cumsum(sizes)[:-1]
         for k in range(1, q):  # shingles across two lines
-            at = ends[:-1] - k
-            keep[at[at < len(grams)]] = False
-        yield i, j, grams[keep], lengths - q + 1
+            keep[cuts - k] = False
+        yield i, j, grams[keep], sizes - q + 1
         i = j
 
 
@@ -92,9 +93,9 @@ class Shingles:
         return int((other.found.take(at, mode="clip") == self.found).sum()) * (1 + similarity) >= need
 
 
-def shingles(lines: list[str], q: int = SHINGLE) -> list[Shingles]:
+def shingles(lines: list[bytes], q: int = SHINGLE) -> list[Shingles]:
     out = []
-    for _, _, grams, sizes in _grams(lines, q):
+    for _, _, grams, sizes in _grams(np.frombuffer(b"".join(lines), np.uint8), np.array([len(x) for x in lines], np.int64), q):
         bits = np.zeros((len(sizes), SKETCH), bool)
         bits[np.repeat(np.arange(len(sizes)), sizes), (grams & np.uint64(SKETCH - 1)).astype(np.int64)] = True
         sketches, ends = np.packbits(bits, axis=1), np.cumsum(sizes).tolist()
@@ -102,10 +103,10 @@ def shingles(lines: list[str], q: int = SHINGLE) -> list[Shingles]:
     return out
 
 
-def signatures(lines: list[str], q: int, count: int) -> np.ndarray:
-    """MinHash signatures, one row for each line."""
-    out = np.empty((len(lines), count), np.uint32)
-    for i, j, grams, sizes in _grams(lines, q):
+def signatures(data: np.ndarray, lengths: np.ndarray, q: int, count: int) -> np.ndarray:
+    """MinHash signatures of the lines, one row for each."""
+    out = np.empty((len(lengths), count), np.uint32)
+    for i, j, grams, sizes in _grams(data, lengths, q):
         grams = (grams >> np.uint64(32)).astype(np.uint32)
         begins = np.r_[0, np.cumsum(sizes)[:-1]]
         # blocks of STEP shingles of one line side by side (the last one repeated), so that minima are taken across rows
@@ -134,77 +135,81 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return keys
 
 
-def _lines(data: bytes):
-    """(position, normal form) of the lines that are not blank, of a text in UTF-8."""
-    for pos, line in enumerate(data.translate(_LOWER).split(b"\n")):
-        form = b" ".join(line.split())
-        if form:
-            yield pos, form
+def lines_of(column: pa.Array):
+    """For slices of a text column: the bytes of all normal forms, and for each line that is not blank its row, position, first and end byte."""
+    for lo, _, buf, off in text_slices(column):
+        mapped, starts, ends, first = words_of(buf, off, SPACED_LOWER_WORDS)
+        if not len(starts):
+            continue
+        inside = mapped != 0
+        keep = inside.copy()
+        keep[1:] |= inside[:-1]  # and the white space that ends a word
+        forms = np.where(inside, buf, np.uint8(32))
+        upper = (forms >= 65) & (forms <= 90)
+        forms[upper] += 32
+        at = np.cumsum(keep) - 1
+        breaks = np.r_[0, np.cumsum(buf == 10)]
+        row = np.repeat(np.arange(len(off) - 1), np.diff(first))
+        pos = breaks[starts] - breaks[off[:-1]][row]
+        new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (pos[1:] != pos[:-1])])
+        last = np.r_[new[1:], len(starts)] - 1
+        yield forms[keep], lo + row[new], pos[new], at[starts[new]], at[ends[last] - 1] + 1
+
+
+def _key(form) -> bytes:
+    return xxhash.xxh3_128_digest(form)
 
 
-def _key(form: bytes) -> bytes:
-    return xxhash.xxh3_128_digest(form)
+def _spans(forms: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of spans one after another, and their lengths."""
+    sizes = end - begin
+    return forms[np.arange(int(sizes.sum())) + np.repeat(begin - (np.cumsum(sizes) - sizes), sizes)], sizes
 
 
 def _occurrences(rows: DataFrame, q: int, bands: int, band_rows: int) -> DataFrame:
     """did, th, pos, lk (digest of the normal form) of each line, and bands where a batch meets the line first."""
 
     def of_batch(batch: pa.RecordBatch):
-        texts = batch.column(2).cast(pa.binary())
-        row, pos, keys, new, forms = [], [], [], [], []
         seen: set[bytes] = set()
-
-        def flush():
-            per = np.zeros(len(row), np.int64)
-            per[new] = bands
-            found = band_keys(signatures(forms, q, bands * band_rows), bands, band_rows) if forms else np.empty((0, bands), np.uint64)
-            at = pa.array(row, pa.int64())
-            return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(pos, pa.int32()), pa.array(keys, pa.binary()), list_array(as_signed(found.ravel()), per, pa.int64())], ["did", "th", "pos", "lk", "bands"])
-
-        size = 0
-        for r in range(batch.num_rows):
-            for p, form in _lines(texts[r].as_py()):
-                key = _key(form)
+        for forms, row, pos, begin, end in lines_of(batch.column(2)):
+            view = memoryview(forms)
+            keys = [_key(view[a:b]) for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+            new = []
+            for i, key in enumerate(keys):
                 if key not in seen:
                     seen.add(key)
-                    new.append(len(row))
-                    forms.append(form.decode("utf-8", "replace"))
-                    size += len(form)
-                row.append(r)
-                pos.append(p)
-                keys.append(key)
-            if size > 1 << 21 or len(row) > 50_000:
-                yield flush()
-                row, pos, keys, new, forms, size = [], [], [], [], [], 0
-        if row:
-            yield flush()
+                    new.append(i)
+            at = pa.array(row)
+            per = np.zeros(len(row), np.int64)
+            per[new] = bands
+            found = band_keys(signatures(*_spans(forms, begin[new], end[new]), q, bands * band_rows), bands, band_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(pos.astype(np.int32)), pa.array(keys, pa.binary()), list_array(as_signed(found.ravel()), per, pa.int64())], ["did", "th", "pos", "lk", "bands"])
 
     return map_arrow(rows.select("did", "th", "text"), of_batch, "did long, th long, pos int, lk binary, bands array<long>")
 
 
 def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """lk, form: the normal forms of the wanted lines (lk), among few others."""
+    """lk, form: the normal forms (UTF-8) of the wanted lines (lk), among few others."""
     held = key_filter(wanted.select(F.xxhash64("lk").alias("k")), "k")
 
     def of_batch(batch: pa.RecordBatch):
         table = load_filter(held)
         seen: set[bytes] = set()
-        keys, forms = [], []
-        for t in batch.column(0).cast(pa.binary()):
-            for _, form in _lines(t.as_py()):
-                key = _key(form)
+        for forms, _, _, begin, end in lines_of(batch.column(0)):
+            view = memoryview(forms)
+            keys, spots = [], []
+            for i, (a, b) in enumerate(zip(begin.tolist(), end.tolist(), strict=True)):
+                key = _key(view[a:b])
                 if key not in seen:
                     seen.add(key)
                     keys.append(key)
-                    forms.append(form)
-        if keys:
-            hit = passes(np.array([xxhash.xxh64_intdigest(k, 42) for k in keys], np.uint64), table)
-            at = np.flatnonzero(hit).tolist()
-            for i in range(0, len(at), 20_000):
-                part = at[i : i + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array([keys[j] for j in part], pa.binary()), pa.array([forms[j].decode("utf-8", "replace") for j in part], pa.string())], ["lk", "form"])
-
-    return map_arrow(rows.select("text"), of_batch, "lk binary, form string").dropDuplicates(["lk"])
+                    spots.append(i)
+            if keys:
+                at = np.flatnonzero(passes(np.array([xxhash.xxh64_intdigest(k, 42) for k in keys], np.uint64), table)).tolist()
+                found = [view[begin[spots[j]] : end[spots[j]]] for j in at]
+                yield pa.RecordBatch.from_arrays([pa.array([keys[j] for j in at], pa.binary()), pa.array([bytes(x) for x in found], pa.binary())], ["lk", "form"])
+
+    return map_arrow(rows.select("text"), of_batch, "lk binary, form binary").dropDuplicates(["lk"])
 
 
 def forest(keys: list[bytes], sets: list[Shingles], sides: list[int], similarity: float) -> list[tuple[bytes, bytes]]:

@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .kernel import as_signed, mix64
@@ -161,12 +161,14 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         low = star.groupBy("u").agg(F.min("v").alias("m"))
         joined = star.join(low, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v")))
-        e2 = scratch.write(small.filter("u <> v").distinct(), "edges")
-        sign = e2.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if last == tuple(sign):
+        seen = Observation()
+        e2 = small.filter("u <> v").distinct().observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum"))
+        e2 = scratch.write(e2, "edges")
+        sign = (seen.get["n"], seen.get["sum"])
+        if last == sign:
             break
         scratch.drop("edges", was)
-        last, e, was = tuple(sign), e2, scratch.count
+        last, e, was = sign, e2, scratch.count
     return e2.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root").union(e2.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
