@@ -1,6 +1,6 @@
 """The queries of the engine, with the SQL that gives the same rows."""
 
-from . import files, more, predicates, quality, records, search, structure  # noqa: F401
+from . import files, layout, more, predicates, quality, records, search, structure  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
