@@ -296,10 +296,9 @@ def links(lines: DataFrame, rows: DataFrame, scratch: Scratch, *, q: int = SHING
         row = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(batch.column(1).offsets)))[at]
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(band[at])], ["lk", "band"])
 
-    members = map_arrow(signed, hot, "lk binary, band long").join(shared, "band", "left_semi").distinct()
-    members = scratch.write(members, "members")
-    # buckets with the same members need one verification
-    marks = members.groupBy("band").agg(F.count("*").alias("n"), F.sum(F.xxhash64("lk").cast("decimal(38,0)")).alias("mark"), F.bit_xor(F.xxhash64(F.lit(1), "lk")).alias("mark2"))
+    members = scratch.write(map_arrow(signed, hot, "lk binary, band long").distinct(), "members")
+    # buckets with the same members need one verification; those of one member only passed the filter
+    marks = members.groupBy("band").agg(F.count("*").alias("n"), F.sum(F.shiftright(F.xxhash64("lk"), 32)).alias("mark"), F.bit_xor(F.xxhash64(F.lit(1), "lk")).alias("mark2")).filter("n > 1")
     buckets = marks.groupBy("n", "mark", "mark2").agg(F.min("band").alias("band")).select("band", "n")
     members = members.join(buckets, "band")
     tiles = F.ceil(F.col("n") / tile).cast("int")

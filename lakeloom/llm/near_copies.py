@@ -177,7 +177,7 @@ def _verify(similarity: float):
 
 def _once(members: DataFrame, bucket: list[str]) -> DataFrame:
     """Members (lk and the columns that name a bucket) of one of the buckets that have the same members, and n, their number."""
-    marks = members.groupBy(*bucket).agg(F.count("*").alias("n"), F.sum(F.xxhash64("lk").cast("decimal(38,0)")).alias("mark"), F.bit_xor(F.xxhash64(F.lit(1), "lk")).alias("mark2"))
+    marks = members.groupBy(*bucket).agg(F.count("*").alias("n"), F.sum(F.shiftright(F.xxhash64("lk"), 32)).alias("mark"), F.bit_xor(F.xxhash64(F.lit(1), "lk")).alias("mark2"))
     one = marks.groupBy("n", "mark", "mark2").agg(F.min(F.struct(*bucket)).alias("b")).select("b.*", "n")
     return members.join(one, bucket)
 
