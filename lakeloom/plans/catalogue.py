@@ -1,6 +1,6 @@
 """The queries of the engine, with the SQL that gives the same rows."""
 
-from . import cleaning, files, layout, more, predicates, quality, records, search, structure, summaries  # noqa: F401
+from . import cleaning, decisions, files, layout, more, predicates, quality, records, search, structure, summaries  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
