@@ -75,7 +75,9 @@ def repeated_key(line: Column | str) -> Column:
     t, k = strip(line), compact(line)
     skip = (k == "") | t.startswith("#") | t.rlike(r"(?i)^<!--\s*Page\s+\d+\s*-->\s*$") | k.rlike(BOOK_PART) | k.rlike(r"^\d{1,4}$")
     key = without_page_number(k)
-    return F.when(skip | (F.length(key) > 24) | key.rlike(END_PUNCTUATION), "").otherwise(key)
+    # a long line with neither mark nor number at its ends has a long key, which need not be made
+    long = (F.length(k) > 24) & ~k.rlike(r"^[\-—–_·•第\d]|[\-—–_·•页\d]$")
+    return F.when(long, "").when(skip | (F.length(key) > 24) | key.rlike(END_PUNCTUATION), "").otherwise(key)
 
 
 def document_key(line: Column | str) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -37,6 +37,12 @@ def nonblank(c: Column | str) -> Column:
     return F.filter(F.transform(lines(c), strip), lambda x: x != "")
 
 
+def once(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """rows with the columns, each computed once for a row: behind a generator, so that no later use or filter repeats their expressions."""
+    made = rows.withColumn("__once", F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+    return made.select(*(F.col(f"`{c}`") for c in rows.columns if c not in columns), "__once.*")
+
+
 def count_where(items: Column, test) -> Column:
     return F.size(F.filter(items, test))
 

@@ -36,7 +36,10 @@ def record_diff(before: DataFrame, after: DataFrame, key: str, fields: Sequence[
 def winner(rows: DataFrame, group: str, *, minimum: float, order: Sequence[Column]) -> DataFrame:
     """Best row of each group with the margin to the next: group, pipeline, score, runner_up, margin, auto_accept, confidence."""
     w = Window.partitionBy(group).orderBy(F.desc("score"), *order)
-    ranked = rows.withColumns({"rank": F.row_number().over(w), "runner_up": F.lead("score").over(w)}).filter("rank = 1")
+    # the limit of two works before the shuffle, so a group's rows never meet in one task
+    two = rows.select(group, "pipeline", "score", F.row_number().over(w).alias("rank")).filter("rank <= 2")
+    at = lambda n, c: F.max(F.when(F.col("rank") == n, F.col(c)))
+    ranked = two.groupBy(group).agg(at(1, "pipeline").alias("pipeline"), at(1, "score").alias("score"), at(2, "score").alias("runner_up"))
     margin = F.round(F.col("score") - F.col("runner_up"), 3)
     accept = (F.col("score") >= minimum) & F.coalesce(margin >= MARGIN, F.lit(True))
     sure = F.when(~accept, "low").when(F.coalesce(margin >= HIGH_MARGIN, F.lit(True)), "high").otherwise("medium")
@@ -84,10 +87,21 @@ def coverage(rows: DataFrame, expected: Column, present: Column) -> DataFrame:
     return rows.withColumns({"found": F.array_intersect(expected, present), "missing": F.array_except(expected, present), "extra": F.array_except(present, expected)}).withColumn("complete", F.size("missing") == 0)
 
 
-def disambiguated(rows: DataFrame, name: str, order: str) -> DataFrame:
-    """rows with output: the name, or the name with -2, -3, … for its later occurrences (case does not count)."""
-    nth = F.row_number().over(Window.partitionBy(F.lower(name)).orderBy(order))
-    return rows.withColumn("output", F.when(nth == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("-"), nth.cast("string"))))
+def disambiguated(rows: DataFrame, name: str, order: str, parts: int = 32) -> DataFrame:
+    """rows with output: the name, or the name with -2, -3, … for its later occurrences (case does not count).
+
+    A common name is numbered in parts: ranges of the order column (numeric), whose counts by name tell where each part begins.
+    """
+    low = F.lower(F.coalesce(name, F.lit("")))
+    cuts = rows.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 1000)).first()[0] or []
+    part = sum((F.when(F.col(order) > c, 1).otherwise(0) for c in sorted(set(cuts))), F.lit(0))
+    keyed = rows.withColumns({"_key": low, "_part": part})
+    counts = keyed.groupBy("_key", "_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("_key", "_part", before.alias("_before"))
+    nth = F.col("_before") + F.row_number().over(Window.partitionBy("_key", "_part").orderBy(order))
+    numbered = keyed.join(starts, ["_key", "_part"]).withColumn("_nth", nth)
+    return numbered.withColumn("output", F.when(F.col("_nth") == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("-"), F.col("_nth").cast("string")))).drop("_key", "_part", "_before", "_nth")
 
 
 def stratified(rows: DataFrame, category: str, order: str, per_category: int) -> DataFrame:

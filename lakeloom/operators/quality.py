@@ -1,4 +1,7 @@
-"""Markdown quality: counters, score, level, risks and queues. All of it works on in-row arrays, without a shuffle."""
+"""Markdown quality: counters, score, level, risks and queues. All of it works on in-row arrays, without a shuffle.
+
+Lines and counters are made once for a row, behind a barrier (see functions.text.once), whatever is filtered or read later.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.headings import repeated_key
-from ..functions.text import count_where, nonblank, ratio
+from ..functions.text import count_where, nonblank, once, ratio
 
 GOOD, REVIEW = 85, 65
 
@@ -28,21 +31,24 @@ def _noise(items: Column) -> Column:
 def counters(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the counters of the quality score."""
     items = F.col("_lines")
-    rows = docs.withColumn("_lines", nonblank(text))
-    rows = rows.withColumns(
+    rows = once(docs, {"_lines": nonblank(text)})
+    body = F.coalesce(F.col(text), F.lit(""))
+    low = lambda x: x < ":"  # noqa: E731  begins with a digit or a mark before them; a cheap test ahead of the patterns
+    rows = once(
+        rows,
         {
-            "characters": F.length(F.coalesce(F.col(text), F.lit(""))).cast("long"),
+            "characters": F.length(body).cast("long"),
             "nonempty_lines": F.size(items),
-            "headings": count_where(items, lambda x: x.rlike(r"^#{1,6}\s+\S")),
-            "page_headings": count_where(items, lambda x: x.rlike(r"(?i)^#{1,6}\s+(page|第?\s*\d+\s*页|p\.?\s*\d+)\b")),
-            "page_number_lines": count_where(items, lambda x: x.rlike(r"^(第\s*)?\d{1,4}\s*(页)?$")),
-            "footnote_like_lines": count_where(items, lambda x: x.rlike(r"^(\[\^?\d+\]|\(\d+\)|\d+[.、])") | x.contains("脚注") | x.contains("注释")),
-            "html_tag_lines": count_where(items, lambda x: x.rlike(r"(?i)</?(div|span|p|br|html|body|section|aside|st)\b")),
-            "table_like_lines": count_where(items, lambda x: x.rlike(r"\|.*\|") | x.contains("\t")),
-            "replacement_chars": F.length(F.coalesce(F.col(text), F.lit(""))) - F.length(F.replace(F.coalesce(F.col(text), F.lit("")), F.lit("�"), F.lit(""))),
+            "headings": count_where(items, lambda x: x.startswith("#") & x.rlike(r"^#{1,6}\s+\S")),
+            "page_headings": count_where(items, lambda x: x.startswith("#") & x.rlike(r"(?i)^#{1,6}\s+(page|第?\s*\d+\s*页|p\.?\s*\d+)\b")),
+            "page_number_lines": count_where(items, lambda x: (low(x) | x.startswith("第")) & x.rlike(r"^(第\s*)?\d{1,4}\s*(页)?$")),
+            "footnote_like_lines": count_where(items, lambda x: ((low(x) | x.startswith("[")) & x.rlike(r"^(\[\^?\d+\]|\(\d+\)|\d+[.、])")) | x.contains("脚注") | x.contains("注释")),
+            "html_tag_lines": count_where(items, lambda x: x.contains("<") & x.rlike(r"(?i)</?(div|span|p|br|html|body|section|aside|st)\b")),
+            "table_like_lines": count_where(items, lambda x: (x.contains("|") & x.rlike(r"\|.*\|")) | x.contains("\t")),
+            "replacement_chars": F.length(body) - F.length(F.replace(body, F.lit("�"), F.lit(""))),
             "_short": count_where(items, lambda x: (F.length(x) <= 8) & ~x.rlike(r"^#{1,6}\s+")),
             "repeated_noise_lines": _noise(items),
-        }
+        },
     )
     rows = rows.withColumn("short_line_ratio", ratio(F.col("_short"), F.greatest(F.col("nonempty_lines"), F.lit(1))))
     return rows.drop("_lines", "_short")

@@ -59,15 +59,21 @@ def fused(ocr: DataFrame, vlm: DataFrame, key: str = "page_number") -> DataFrame
     return rows.withColumn("text", F.when(F.col("action") == "replaced", F.col("_v")).when(F.col("action") == "appended", F.concat("text", F.lit("\n\n"), F.col("_v"))).otherwise(F.col("text"))).drop("_v", "_s")
 
 
-def median_confidence(confidences: Column) -> DataFrame | Column:
+def scaled_confidences(confidences: Column) -> Column:
     """Confidences in 0..1 from mixed scales: values over 1 are percentages, invalid ones dropped."""
     known = F.filter(confidences, lambda x: x.isNotNull() & (x >= 0) & (x <= 100))
     return F.transform(known, lambda x: F.when(x > 1, x / 100).otherwise(x))
 
 
+def embedded_confidences(items: Column) -> Column:
+    """Confidences in 0..1 of a map's values (average_confidence); others are left out."""
+    values = F.transform(F.map_values(items), lambda i: i["average_confidence"].try_cast("double"))
+    return F.filter(values, lambda x: x.isNotNull() & (x >= 0) & (x <= 1))
+
+
 def low_confidence(confidences: Column) -> Column:
     """Whether OCR confidences call for a review: mean under 0.70, or 30 % under 0.65."""
-    c = median_confidence(confidences)
+    c = scaled_confidences(confidences)
     n = F.size(c)
     mean = F.aggregate(c, F.lit(0.0), lambda s, x: s + x) / n
     return F.coalesce((n > 0) & ((mean < 0.70) | (F.size(F.filter(c, lambda x: x < 0.65)) / n >= 0.30)), F.lit(False))

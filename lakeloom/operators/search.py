@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
@@ -44,6 +44,32 @@ def bm25(docs: DataFrame, query: str, id_col: str = "doc_id", text_col: str = "t
     return rows.select(id_col, hits.alias("hits"), score.alias("score"))
 
 
+def build_index(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", buckets: int = 16) -> None:
+    """Writes the index of a table in a folder: postings by a hash of the term, in the terms' order, and the corpus numbers.
+
+    A query then reads the buckets of its terms only, whatever the corpus holds, and never the texts.
+    """
+    index = postings(docs, id_col, text_col).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    index.repartition("bucket", "term").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
+    lengths = docs.select(F.size(tokens(text_col)).alias("length"))
+    lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{folder}/numbers")
+
+
+def bm25_of_index(spark: SparkSession, folder: str, query: str, id_col: str = "doc_id") -> DataFrame:
+    """id, hits, score of the texts that hold a term of the query, from an index."""
+    terms = query_terms(query)
+    numbers = spark.read.parquet(f"{folder}/numbers")
+    buckets = numbers.first()["buckets"]
+    wanted = spark.range(1).select(F.explode(F.array(*(F.lit(t) for t in terms))).alias("term")) if terms else spark.range(0).select(F.lit("").alias("term"))
+    at = [r.b for r in wanted.select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("b")).distinct().collect()]  # one for each term
+    found = spark.read.parquet(f"{folder}/postings").filter(F.col("bucket").isin(at) & F.col("term").isin(terms))
+    frequency = found.groupBy("term").agg(F.count("*").alias("df"))  # a row for each term
+    rows = found.join(F.broadcast(frequency), "term").join(F.broadcast(numbers))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    return rows.groupBy(id_col).agg(F.count("*").cast("int").alias("hits"), F.sum(part).alias("score"))
+
+
 def _equals(term: str):
     return lambda x: x == term
 

@@ -30,8 +30,8 @@ def blank_separated(id_col: str = "doc_id") -> Column:
 
 
 def next_nonblank(id_col: str = "doc_id") -> Column:
-    w = _by(id_col).rowsBetween(1, Window.unboundedFollowing)
-    return F.first(F.when(F.col("t") != "", F.col("t")), ignorenulls=True).over(w)
+    back = Window.partitionBy(id_col).orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)  # one running pass
+    return F.last(F.when(F.col("t") != "", F.col("t")), ignorenulls=True).over(back)
 
 
 def noise_kinds(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ratio
 from ..operators import layout as y
+from ..operators.summaries import rendered
 from . import derived
 from .derived import BLOCKS_SQL, LINES_SQL
 from .registry import query, table
@@ -86,12 +87,12 @@ def page_difficulty(spark, folder):
 
 @query(
     BLOCKS_SQL
-    + """SELECT page, map_from_entries(list_sort(list({'key': kind, 'value': n::INT}))) AS kinds, max(area) AS largest FROM (SELECT page, kind, count(*) AS n, max((x2 - x1) * (y2 - y1)) AS area FROM blocks GROUP BY ALL) GROUP BY page"""
+    + """SELECT page, array_to_string(list_sort(list(concat(kind, '=', n))), ', ') AS kinds, max(area) AS largest FROM (SELECT page, kind, count(*) AS n, max((x2 - x1) * (y2 - y1)) AS area FROM blocks GROUP BY ALL) GROUP BY page"""
 )
 def block_kinds(spark, folder):
     """Blocks by kind and the largest block of each page."""
     rows = _pages(spark, folder)
-    return rows.select("page", y.kind_counts(F.col("blocks")).alias("kinds"), F.array_max(F.transform("blocks", y.area)).alias("largest"))
+    return rows.select("page", rendered(y.kind_counts(F.col("blocks"))).alias("kinds"), F.array_max(F.transform("blocks", y.area)).alias("largest"))
 
 
 @query(

@@ -9,18 +9,18 @@ from . import derived
 from .derived import LINES_SQL, RUNS_SQL
 from .registry import query, table
 
-_MAP = "map_from_entries(list_sort(list({'key': k, 'value': n})))"
+_MAP = "array_to_string(list_sort(list(concat(k, '=', n))), ', ')"
 
 
 @query(
     RUNS_SQL
     + f""", counted AS (SELECT kind, level AS k, count(*) AS n FROM runs WHERE level IS NOT NULL GROUP BY ALL)
-SELECT kind, {_MAP} AS levels, array_to_string(list_sort(list(k || '=' || n)), ', ') AS text FROM counted GROUP BY kind"""
+SELECT kind, {_MAP} AS levels, count(*) AS different FROM counted GROUP BY kind"""
 )
 def nested_counts(spark, folder):
-    """Counts of a nested field, as a map and as text."""
+    """Counts of a nested field, rendered."""
     rows = s.count_map(derived.runs(spark, folder), ["kind"], F.col("level"), "levels")
-    return rows.withColumn("text", s.rendered(F.col("levels")))
+    return rows.select("kind", s.rendered(F.col("levels")).alias("levels"), F.size("levels").cast("long").alias("different"))
 
 
 _OCR = """count(*) AS samples, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (chars = 0) AS empty, round(count(*) FILTER (chars = 0) / count(*)::DOUBLE, 4) AS empty_rate, round(sum(seconds), 4) AS total_seconds, round(sum(seconds) / count(*), 4) AS avg_seconds,
@@ -68,7 +68,7 @@ SELECT t.job, total, ok, total - ok AS failed, types, coalesce(failed_paths, [])
 def artifact_totals(spark, folder):
     """Artifacts of each job by type, and the first failures."""
     rows = derived.runs(spark, folder).select("job", F.col("provider").alias("type"), "status", F.concat(F.lit("a/"), "id").alias("path"), F.col("id").alias("ordinal"))
-    return s.artifact_summary(rows, "job")
+    return s.artifact_summary(rows, "job").withColumn("types", s.rendered(F.col("types")))
 
 
 @query(
@@ -255,4 +255,4 @@ SELECT t.job, total, review_count, levels, review_ids FROM (SELECT job, count(*)
 def conversion_reviews(spark, folder):
     """Levels of each job's conversions and the first to review."""
     rows = derived.runs(spark, folder).withColumn("outline", F.when(F.col("id") % 25 == 0, "low_alignment").otherwise("ok"))
-    return s.review_summary(rows, "job")
+    return s.review_summary(rows, "job").withColumn("levels", s.rendered(F.col("levels")))

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import csv
 import io
+import re
+import tempfile
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -15,10 +18,10 @@ from ..functions.text import file_name, is_hidden, natural_key, strip, suffix
 
 # Suffixes by the engine that converts them.
 KINDS = {
-    "pandoc": (".epub", ".docx", ".odt", ".rtf", ".html", ".htm", ".md", ".txt", ".fb2"),
-    "calibre": (".mobi", ".azw", ".azw3", ".chm", ".djvu", ".prc"),
+    "pandoc": (".epub", ".fb2", ".odt", ".txt"),
+    "calibre": (".azw", ".azw3", ".mobi", ".rtf"),
     "pdf": (".pdf",),
-    "docling": (".pptx", ".xlsx", ".csv", ".tsv"),
+    "docling": (".docx", ".pptx", ".xlsx", ".html", ".htm", ".md", ".csv", ".tsv"),
     "image": (".png", ".jpg", ".jpeg", ".webp", ".bmp", ".tif", ".tiff"),
 }
 
@@ -144,3 +147,13 @@ def tesseract_words(rows: DataFrame) -> DataFrame:
     words = rows.filter((F.col("level").cast("int") == 5) & (strip("text") != ""))
     x, y, w, h = (F.col(c).cast("double") for c in ("left", "top", "width", "height"))
     return words.select(strip("text").alias("text"), F.array(x, y, x + w, y + h).alias("bbox"), F.when(conf >= 0, F.least(F.lit(1.0), conf / 100)).alias("score"))
+
+
+def scratch_folder(spark, name: str) -> str:
+    """A new folder that driver and executors share: below spark.checkpoint.dir, or a local one where all runs in one process."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="lakeloom-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
