@@ -65,12 +65,6 @@ def element_types(spark, folder):
     return rows.groupBy("type").agg(F.count("*").alias("elements"), F.countDistinct("doc_id").alias("documents"), F.max("chars").cast("long").alias("longest"))
 
 
-@query()
-def chunk_summary(spark, folder):
-    rows = structure.chunks(structure.elements(table(spark, folder, "documents")))
-    return rows.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.max("chars").alias("most_chars"), F.sum("blocks").alias("blocks"))
-
-
 @query()
 def near_duplicate_turns(spark, folder):
     turns = table(spark, folder, "conversations").select(F.col("conv_id").alias("book"), F.col("turn").alias("ordinal"), F.col("role").alias("name"), "text", F.lit("").alias("image_hash"))

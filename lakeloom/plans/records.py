@@ -53,11 +53,6 @@ def pages_by_host(spark, folder):
     return table(spark, folder, "pages").groupBy(web.url_parts(F.col("url"))["host"].alias("host")).agg(F.count("*").alias("pages"), F.min("page_id").alias("first_page"))
 
 
-@query()
-def page_nav_titles(spark, folder):
-    return table(spark, folder, "pages").select("page_id", F.array_join(web.nav_titles(F.col("html")), " | ").alias("titles"))
-
-
 # --- duplicates -------------------------------------------------------------------------------------------------------
 
 
@@ -148,16 +143,6 @@ def chat_repeated_messages(spark, folder):
     return table(spark, folder, "conversations").groupBy(normal_text("text").alias("key")).agg(F.count("*").alias("times")).filter("times > 1")
 
 
-@query()
-def chat_overlap(spark, folder):
-    turns = table(spark, folder, "conversations").withColumn("key", chat.message_key(F.col("role"), F.col("text")))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", "key"))), lambda x: x["key"])
-    convs = turns.groupBy("conv_id").agg(ordered.alias("keys"))
-    before = convs.select((F.col("conv_id") + 1).alias("conv_id"), F.col("keys").alias("before"))
-    none = F.array().cast("array<string>")
-    return convs.join(before, "conv_id", "left").select("conv_id", chat.page_overlap(F.coalesce("before", none), F.col("keys")).alias("overlap"))
-
-
 # --- events -----------------------------------------------------------------------------------------------------------
 
 

@@ -120,8 +120,3 @@ SELECT w.doc_id, w.chunk::BIGINT AS chunk, min(line_start) AS line_start, max(li
 def chunk_map(spark, folder):
     rows = structure.chunks(structure.elements(table(spark, folder, "documents")))
     return rows.select("doc_id", F.col("chunk").cast("long"), F.col("first").cast("long").alias("line_start"), F.col("last").cast("long").alias("line_end"), F.col("blocks").cast("long"), F.col("chars").cast("long"))
-
-
-@query()
-def cleaned_documents(spark, folder):
-    return structure.cleanup(table(spark, folder, "documents"))
