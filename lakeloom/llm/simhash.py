@@ -3,8 +3,8 @@
 Two fingerprints within `radius` bits agree on at least two of four 16-bit blocks (for a radius of 2), so each distinct
 fingerprint is dealt to the six tables keyed by a pair of blocks. Within a key the fingerprints, in order of their
 population count, are compared tile by tile with numpy exclusive-or and bit counts; a tile pair whose population counts
-lie further apart than the radius is skipped, as the counts of linked fingerprints differ by at most the radius. This is exact:
-no link is lost. A tile group yields the links of a spanning forest, never all pairs, and equal fingerprints are compared once.
+lie further apart than the radius is skipped, as the counts of linked fingerprints differ by at most the radius. Tiles of a key that very many
+share go to tasks of their own, pair by pair. This is exact: no link is lost. A tile group yields the links of a spanning forest, never all pairs, and equal fingerprints are compared once.
 
 Defined results: a null or blank text has fingerprint zero and is linked like any other; every row returns one row;
 rows with a null id take part and have the component of their fingerprint, an id of null only if no member has one; an
@@ -30,8 +30,8 @@ from .shared import KEY, NO_ID, Scratch, components, keyed, map_arrow, split_row
 SHINGLE_WORDS = 3
 RADIUS = 2
 SEED = 42
-#: Fingerprints on a side of a tile.
-TILE = 1024
+#: Fingerprints on a side of a tile, and fingerprints of a key from which on its tiles are dealt to many tasks.
+TILE, HOT = 1024, 16_384
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _PART = 1 << 15
 
@@ -103,31 +103,38 @@ def tile_forest(fps: np.ndarray, radius: int, tile: int = TILE) -> np.ndarray:
 
 
 def _compare(radius: int):
-    """Over rows (tab, key, pop, fp) sorted by these: links (a, b), those of a group once all its rows have come."""
+    """Over rows (group, pop, fp) sorted by these: links (a, b) that connect the groups' fingerprints."""
 
-    def links(keys: np.ndarray, fps: np.ndarray):
-        cuts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1), True])
-        for k in np.flatnonzero(np.diff(cuts) > 1):
-            group = fps[cuts[k] : cuts[k + 1]]
-            roots = tile_forest(group, radius)
-            far = np.flatnonzero(roots != np.arange(len(group)))
-            if len(far):
-                yield group[far], group[roots[far]]
+    def links(group: np.ndarray):
+        roots = tile_forest(group, radius)
+        far = np.flatnonzero(roots != np.arange(len(group)))
+        return group[far], group[roots[far]]
 
     def run(batches: Iterator[pa.RecordBatch]):
-        keys, fps = np.empty((0, 2), np.int64), np.empty(0, np.uint64)
+        key, carried = None, []  # the last group so far, which the next batch may continue
         for batch in batches:
-            new = np.stack([np.asarray(batch.column(0)).astype(np.int64), np.asarray(batch.column(1))], axis=1)
-            keys, fps = np.concatenate([keys, new]), np.concatenate([fps, np.asarray(batch.column(3)).view(np.uint64)])
+            keys, fps = np.asarray(batch.column(0)), np.asarray(batch.column(2)).view(np.uint64)
             if not len(keys):
                 continue
-            last = int(np.flatnonzero((keys != keys[-1]).any(axis=1))[-1]) + 1 if (keys != keys[-1]).any() else 0
-            for a, b in links(keys[:last], fps[:last]):
-                yield pa.RecordBatch.from_arrays([pa.array(as_signed(a)), pa.array(as_signed(b))], ["a", "b"])
-            keys, fps = keys[last:], fps[last:]
-        if len(keys):
-            for a, b in links(keys, fps):
-                yield pa.RecordBatch.from_arrays([pa.array(as_signed(a)), pa.array(as_signed(b))], ["a", "b"])
+            out = []
+            if carried:
+                other = np.flatnonzero(keys != key)
+                more = int(other[0]) if len(other) else len(keys)
+                carried.append(fps[:more])
+                keys, fps = keys[more:], fps[more:]
+                if not len(keys):
+                    continue
+                out.append(links(np.concatenate(carried)))
+            cuts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
+            out += [links(fps[cuts[i] : cuts[i + 1]]) for i in np.flatnonzero(np.diff(cuts[:-1]) > 1)]
+            key, carried = keys[-1], [fps[cuts[-2] :]]
+            yield from batch_of(out)
+        if carried:
+            yield from batch_of([links(np.concatenate(carried))])
+
+    def batch_of(pairs):
+        if any(len(a) for a, _ in pairs):
+            yield pa.RecordBatch.from_arrays([pa.array(as_signed(np.concatenate([p[i] for p in pairs]))) for i in range(2)], ["a", "b"])
 
     return run
 
@@ -140,8 +147,12 @@ def block_tables(radius: int) -> list[list[tuple[int, int]]]:
     return [list(pair) for pair in combinations(blocks, 2)]
 
 
-def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Links (a, b) between distinct fingerprints of column fp that connect all within the radius."""
+def links(distinct: DataFrame, scratch: Scratch, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
+    """Links (a, b) between distinct fingerprints of column fp that connect all within the radius.
+
+    The fingerprints of one key are one task's group. A key of more than `hot` is dealt out as pairs of tiles instead, each of one
+    population count, and only of counts that differ by the radius at most.
+    """
     keys = []
     for blocks in block_tables(radius):
         key, at = F.lit(0).cast("long"), 0
@@ -150,7 +161,19 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
             at += bits
         keys.append(key)
     rows = distinct.select("fp", F.bit_count("fp").alias("pop"), F.posexplode(F.array(*keys)).alias("tab", "key"))
-    dealt = rows.select("tab", "key", "pop", "fp").repartition("tab", "key").sortWithinPartitions("tab", "key", "pop", "fp")
+    counts = rows.groupBy("tab", "key", "pop").agg(F.count("*").alias("n")).groupBy("tab", "key").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("pop", F.ceil(F.col("n") / TILE).cast("int")))).alias("tiles"))
+    large = scratch.write(counts.filter(F.col("all") > hot).drop("all"), "hot")
+    group = F.xxhash64("tab", "key")
+    if large.isEmpty():
+        dealt = rows.select(group.alias("group"), "pop", "fp")
+    else:
+        mine = rows.join(large, ["tab", "key"])
+        size = lambda p: F.coalesce(F.try_element_at("tiles", p), F.lit(0))
+        own = F.struct(F.col("pop"), F.pmod(F.xxhash64("fp"), size(F.col("pop"))).cast("int").alias("tile"))
+        near = F.flatten(F.transform(F.sequence(F.col("pop") - radius, F.col("pop") + radius), lambda p: F.transform(F.filter(F.sequence(F.lit(0), F.greatest(size(p) - 1, F.lit(0))), lambda t: t < size(p)), lambda t: F.struct(p.alias("pop"), t.alias("tile")))))
+        pairs = F.transform(near, lambda o: F.xxhash64("tab", "key", F.least(own, o), F.greatest(own, o)))
+        dealt = rows.join(large, ["tab", "key"], "left_anti").select(group.alias("group"), "pop", "fp").union(mine.select(F.explode(pairs).alias("group"), "pop", "fp"))
+    dealt = dealt.repartition("group").sortWithinPartitions("group", "pop", "fp")
     return dealt.mapInArrow(_compare(radius), "a long, b long")
 
 
@@ -161,7 +184,7 @@ def groups(fps: DataFrame, radius: int, scratch: Scratch, more: DataFrame | None
     """
     named = F.when(F.col("did") != NO_ID, F.col("did"))
     distinct = scratch.write(fps.groupBy("fp").agg(F.min(named).alias("first_id")), "distinct")
-    near = links(distinct, radius)
+    near = links(distinct, scratch, radius)
     roots = components(near if more is None else near.union(more), scratch).select(F.col("node").alias("fp"), "root")
     known = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = known.groupBy("root").agg(F.min("first_id").alias("component_id"))

@@ -113,6 +113,31 @@ def test_tiles_lose_no_link():
     assert (labels == want).all()
 
 
+def test_hot_keys_are_dealt_as_tile_pairs(spark, monkeypatch):
+    """All fingerprints share a block pair; small tiles and a low limit spread them, and the components stay those of all pairs."""
+    from lakeloom.llm.shared import Scratch, components
+
+    rng = np.random.default_rng(4)
+    low = rng.integers(0, 1 << 20, 1500).astype(np.uint64)
+    fps = np.unique(np.r_[low, low[:300] ^ np.uint64(3), low[:200] ^ np.uint64(1 << 19)]) | np.uint64(0xABCDEF0000000000)
+    scratch = Scratch(spark, "t")
+    table = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    monkeypatch.setattr(simhash, "TILE", 64)
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 2
+    want = np.arange(len(fps))
+    while True:
+        new = np.array([want[near[i]].min() for i in range(len(fps))])
+        if (new == want).all():
+            break
+        want = new
+    for hot in (10_000, 100):
+        roots = {r.node: r.root for r in components(simhash.links(table, scratch, 2, hot), scratch).collect()}
+        got = {}
+        for i, x in enumerate(fps.view(np.int64).tolist()):
+            got.setdefault(roots.get(x, x), set()).add(i)
+        assert sorted(map(sorted, got.values())) == sorted(np.flatnonzero(want == r).tolist() for r in np.unique(want)), hot
+
+
 @pytest.mark.parametrize("batches", [1, 4])
 def test_substring_dedup(docs, corpus, batches):
     got = rows(substring_dedup.dedup(docs, batches=batches), "doc_id", "n_units", "n_removed", "kept_sha256")
