@@ -82,7 +82,7 @@ def prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def anchor_counts(rows: DataFrame, units: Units, with_id: bool) -> DataFrame:
-    """fp, c (stretches), lo, hi (smallest and largest id) of the anchors of each batch; still to be summed up."""
+    """fp, c (stretches) of the anchors of each batch, still to be summed up; with_id: fp, did, once for each document of a batch."""
 
     def of_batch(batch: pa.RecordBatch):
         did = np.asarray(batch.column(0))
@@ -90,15 +90,14 @@ def anchor_counts(rows: DataFrame, units: Units, with_id: bool) -> DataFrame:
             row, _, _, _, fp = stretches(buf, first, hashes, units)
             if not len(fp):
                 continue
-            ids = did[lo + row]
+            ids = did[lo + row] if with_id else np.zeros(len(fp), np.int64)
             order = np.lexsort((ids, fp)) if with_id else np.argsort(fp)
             fp, ids = fp[order], ids[order]
-            new = np.flatnonzero(np.r_[True, fp[1:] != fp[:-1]])
-            last = np.r_[new[1:], len(fp)] - 1
-            columns = [pa.array(as_signed(fp[new])), pa.array(last - new + 1)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(ids[new]), pa.array(ids[last])][: 4 if with_id else 2], ["fp", "c", "lo", "hi"][: 4 if with_id else 2])
+            new = np.flatnonzero(np.r_[True, (fp[1:] != fp[:-1]) | (ids[1:] != ids[:-1])])
+            second = ids[new] if with_id else np.diff(np.r_[new, len(fp)])
+            yield pa.RecordBatch.from_arrays([pa.array(as_signed(fp[new])), pa.array(second, pa.int64())], ["fp", "did" if with_id else "c"])
 
-    return map_arrow(rows.select("did", "text"), of_batch, "fp long, c long" + ", lo long, hi long" * with_id)
+    return map_arrow(rows.select("did", "text"), of_batch, "fp long, did long" if with_id else "fp long, c long")
 
 
 def placements(rows: DataFrame, shared: DataFrame, units: Units, scratch: Scratch) -> DataFrame:

@@ -150,17 +150,42 @@ def test_substring_dedup_of_short_windows(docs, corpus, none):
     assert not substring_dedup.dedup(none).count()
 
 
-def test_index_runs_are_compacted(spark):
-    from lakeloom.llm.shared import Scratch
-
-    index = substring_dedup.FingerprintIndex(spark, Scratch(spark, "t"))
+def test_index_runs_are_compacted(spark, tmp_path):
+    index = substring_dedup.FingerprintIndex(spark, str(tmp_path / "index"))
     found = []
     for b in range(4):
-        batch = spark.createDataFrame([(k, b, b) for k in (b, 7, 100 + b // 2)], "fp long, lo long, hi long")
+        batch = spark.createDataFrame([(k, b) for k in (b, 7, 100 + b // 2)], "fp long, did long")
         found.append(sorted(r.fp for r in index.add(batch).collect()))
+        index.compact()
     assert found == [[], [7, 100], [7], [7, 101]]
-    assert [level for level, _ in index.runs] == [2]
-    assert {r.fp: (r.lo, r.hi) for r in index.history().collect()}[7] == (0, 3)
+    assert [level for level, *_ in index.runs] == [2]
+    assert sorted((r.fp, r.did) for r in index.read(index.runs[0]).collect()) == sorted((k, b) for b in range(4) for k in (b, 7, 100 + b // 2))
+    index.close()
+
+
+def test_runs_meet_without_an_exchange(spark, tmp_path):
+    index = substring_dedup.FingerprintIndex(spark, str(tmp_path / "index"), fanout=9)
+    for b in range(2):
+        index.add(spark.createDataFrame([(k, b) for k in range(50)], "fp long, did long")).count()
+    a, b = (index.read(r).select("fp") for r in index.runs)
+    plan = a.hint("merge").join(b, "fp")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    index.close()
+
+
+def test_index_lasts_over_sessions(spark, corpus, tmp_path):
+    """Three calls with parts of the corpus in the order of ids equal one call with all of it; each opens the index anew."""
+    folder = str(tmp_path / "index")
+    first = [(i, t) for i, t in corpus if i is None or i < 250]
+    parts = [first, [(i, t) for i, t in corpus if i is not None and 250 <= i < 330], [(i, t) for i, t in corpus if i is not None and i >= 330]]
+    got = []
+    for part in parts:
+        other = spark.newSession()
+        docs = other.createDataFrame(part, "doc_id long, text string").repartition(3)
+        got += [tuple(r) for r in substring_dedup.dedup(docs, window=20, gram=6, batches=2, index=folder).select("doc_id", "n_units", "n_removed", "kept_sha256").collect()]
+    assert sorted(got, key=str) == sorted(brute.substring(corpus, 20), key=str)
+    index = substring_dedup.FingerprintIndex(spark, folder)
+    assert len(index.documents) == 3 and index.made == 3
 
 
 @pytest.mark.parametrize("group", [2048, 3, 1])
