@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernel import as_signed, mix64
@@ -140,19 +140,65 @@ def without(docs: DataFrame, bad: DataFrame, id_col: str, text_col: str) -> Data
     return some.join(bad, list(KEY), "left_anti").select(none.columns).union(none).drop(*KEY)
 
 
+#: Edges that a task contracts at once.
+CONTRACT = 200_000
+
+
+def _contracted():
+    """Edges (u, v) -> for each CONTRACT of them, edges from their nodes to the smallest one that they reach through these."""
+
+    def stars(root: dict, types):
+        for x in list(root):
+            r = x
+            while root[r] != r:
+                r = root[r]
+            while root[x] != r:
+                root[x], x = r, root[x]
+        pairs = [(x, r) for x, r in root.items() if x != r]
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], types[0]), pa.array([r for _, r in pairs], types[1])], ["u", "v"])
+
+    def run(batches):
+        root, n, types = {}, 0, None
+        for batch in batches:
+            types = (batch.schema.field(0).type, batch.schema.field(1).type)
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for z in (x, y):
+                    root.setdefault(z, z)
+                while root[x] != x:
+                    root[x] = x = root[root[x]]
+                while root[y] != y:
+                    root[y] = y = root[root[y]]
+                if x < y:
+                    root[y] = x
+                elif y < x:
+                    root[x] = y
+            n += batch.num_rows
+            if n >= CONTRACT:
+                yield stars(root, types)
+                root, n = {}, 0
+        if root:
+            yield stars(root, types)
+
+    return run
+
+
+def _settled(e: DataFrame) -> bool:
+    """Whether the edges (u, v), v the smaller, are stars: no node has two edges to smaller ones, or one and edges to larger ones."""
+    ends = e.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(e.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or (up = 1 and down = 1)").isEmpty()
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """Connected components of edges (a, b) of any sortable type: (node, root), root the smallest reachable node.
+    """Connected components of edges (a, b) of bigint, string or binary: (node, root), root the smallest reachable node.
 
-    Alternating large-star and small-star steps (distributed union-find). Each round is two aggregations with partial
-    sums and two equi-joins, which adaptive execution splits where a node has very many neighbours. Nodes without an
-    edge to another node are absent. The edges of each round are a written table, so lineage stays short; those of rounds
-    before the last are deleted. The rounds go on until nothing changes, about the logarithm of the largest component's diameter.
+    Distributed union-find: tasks first contract the edges that they hold, then large-star and small-star steps alternate until the
+    edges are stars, about as many rounds as the logarithm of the largest component's diameter. Each round is two aggregations with
+    partial sums and two equi-joins, which adaptive execution splits where a node has very many neighbours. Nodes without an edge to
+    another node are absent. The edges of each round are a written table, so lineage stays short; older ones are deleted.
     """
-    e = scratch.write(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
-    if e.isEmpty():
-        return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    last, was = None, scratch.count
-    while True:
+    pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v")
+    e, was = scratch.write(pairs.repartition("v").mapInArrow(_contracted(), pairs.schema), "edges"), scratch.count
+    while not _settled(e):
         # large-star: each larger neighbour links to the smallest of the closed neighbourhood
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -161,15 +207,9 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         low = star.groupBy("u").agg(F.min("v").alias("m"))
         joined = star.join(low, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v")))
-        seen = Observation()
-        e2 = small.filter("u <> v").distinct().observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum"))
-        e2 = scratch.write(e2, "edges")
-        sign = (seen.get["n"], seen.get["sum"])
-        if last == sign:
-            break
-        scratch.drop("edges", was)
-        last, e, was = sign, e2, scratch.count
-    return e2.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root").union(e2.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        e, old, was = scratch.write(small.filter("u <> v").distinct(), "edges"), was, scratch.count
+        scratch.drop("edges", old)
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()).distinct()
 
 
 #: Rows and bytes of an Arrow batch where the session leaves Spark's defaults: texts are long rows, and a worker, its JVM
