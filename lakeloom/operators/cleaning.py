@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import predicates
 from ..functions.cleanup import footnote_references, unwrapped
 from ..functions.headings import heading_key, repeated_key
-from ..functions.text import col, compact, strip
+from ..functions.text import col, strip
 from .pages import heading_guess
 
 # Marks of a publication page, titles of front matter, headings without a number.

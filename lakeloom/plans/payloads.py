@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import credential_name
 from ..operators import payloads as p
-from . import derived
 from .registry import query, table
 
 _c = F.col

@@ -3,13 +3,11 @@
 import os
 
 import duckdb
-import pytest
 from lakeloom import sources, streaming
 from lakeloom.functions import cleanup
 from lakeloom.functions import headings as H
 from lakeloom.functions import text as T
 from lakeloom.operators import chat, compare, events, governance, pages, quality, routing, search, structure, web
-from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 FOLDER = "/root/testdata/sf0.001"
@@ -45,10 +43,14 @@ def test_heading_grammar(spark):
 
 
 def test_promotions_follow_what_stands_above(spark):
-    text = "第一章 总则\n\n第五条 内容如下\n\n（一）目标如下\n\n1. 第一个步骤\n\n（1）小项目录\n\nsome following text\n\n（二）以分号结尾；\n\ntail"
+    """The six levels of the grammar, one marked clause and one plain heading; a clause that ends in a semicolon stays text."""
+    text = (
+        "第二章 范围\n\n第一节 一般规定\n\n第七条 双方应当按照下列约定履行各自的义务：\n\n（一）交付货物\n\n货物应当在约定的期限以内送达指定的地点。\n\n## （二）验收货物\n\n1. 验收标准\n\n标准由双方在附件中另行约定清楚。\n\n"
+        "（1）外观标准\n\n外观应当完整并且没有任何可见的损伤。\n\n## 其他事项\n\n第八条 下列情形不适用前条关于验收货物的约定：\n\n（一）双方另有约定；\n\n其余的正文仍然保持不变。"
+    )
     got = structure.promotions(structure.line_table(spark.createDataFrame([(1, text)], "doc_id long, text string"))).orderBy("pos").collect()
-    assert [(r.title[:3], r.level) for r in got][:2] == [("第一章", 1), ("第五条", 3)]
-    assert {r.kind: r.level for r in got} | {} == {r.kind: r.level for r in got} and not [r for r in got if r.title.endswith("；")]
+    assert [(r.title[:4], r.level) for r in got] == [("第二章 ", 1), ("第一节 ", 2), ("第七条 ", 3), ("（一）交", 4), ("（二）验", 4), ("1. 验", 5), ("（1）外", 6), ("其他事项", 2), ("第八条 ", 3)]
+    assert [r.kind for r in got][:7] == ["chapter", "section", "article", "parenthesized_clause", "parenthesized_clause", "numeric_item", "parenthesized_digit_item"]
 
 
 def test_outline_and_chunks(spark):
