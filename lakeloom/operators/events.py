@@ -16,6 +16,12 @@ def job_state(events: DataFrame, job: str = "user_id") -> DataFrame:
     return events.groupBy(job).agg(F.count("*").alias("events"), last.alias("status"), F.max("ts").alias("updated"), F.sum("value").alias("total"))
 
 
+def progress(events: DataFrame, job: str) -> DataFrame:
+    """Events (event_id, index, total) of jobs: how far each has come, its last total, whether it is complete."""
+    rows = events.groupBy(job).agg(F.coalesce(F.max("index"), F.lit(0)).alias("completed"), F.max_by("total", F.when(F.col("total").isNotNull(), F.col("event_id"))).alias("total"), F.count("*").alias("events"))
+    return rows.withColumn("complete", F.coalesce(F.col("completed") >= F.col("total"), F.lit(False)))
+
+
 def last_n(events: DataFrame, n: int = RING, job: str = "user_id") -> DataFrame:
     """The last n events of each job with their age rank (1 the newest)."""
     w = Window.partitionBy(job).orderBy(F.desc("ts"), F.desc("event_id"))

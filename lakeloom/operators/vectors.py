@@ -19,7 +19,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def nearest(vectors: DataFrame, vec_id: int, k: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """The k most similar vectors of one; the query is one row, the top k a bounded heap."""
-    one = F.broadcast(vectors.filter(F.col(id_col) == vec_id).limit(1).select(F.col(vector).alias("_q")))
+    """The k most similar vectors of one, of several rows with that id the smallest vector; the query is one row, the top k a bounded heap."""
+    one = F.broadcast(vectors.filter(F.col(id_col) == vec_id).agg(F.min(vector).alias("_q")))
     rows = vectors.filter(F.col(id_col) != vec_id).join(one)
     return rows.select(id_col, F.round(cosine(F.col(vector), F.col("_q")), 6).alias("similarity")).orderBy(F.desc("similarity"), id_col).limit(k)

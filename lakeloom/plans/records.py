@@ -286,3 +286,14 @@ def format_baseline_matrix(spark, folder):
     rank = F.when(F.col("level") == "good", 0).when(F.col("level") == "review", 1).otherwise(2)
     rows = _scored(spark, folder)
     return rows.groupBy("lang").agg(F.count("*").alias("documents"), *(F.count_if(F.col("level") == x).alias(x) for x in ("good", "review", "poor")), F.min_by("doc_id", F.struct(rank, -F.col("score"), "doc_id")).alias("best"))
+
+
+@query(
+    """SELECT user_id, coalesce(max(CASE WHEN event_id % 5 > 0 THEN event_id % 40 END), 0) AS completed, arg_max(30 + user_id % 12, event_id) FILTER (event_id % 3 = 0) AS total, count(*) AS events,
+ coalesce(coalesce(max(CASE WHEN event_id % 5 > 0 THEN event_id % 40 END), 0) >= arg_max(30 + user_id % 12, event_id) FILTER (event_id % 3 = 0), false) AS complete FROM events GROUP BY user_id"""
+)
+def job_progress(spark, folder):
+    """How far jobs have come."""
+    i = F.col("event_id")
+    rows = table(spark, folder, "events").select("user_id", "event_id", F.when(i % 5 > 0, i % 40).alias("index"), F.when(i % 3 == 0, 30 + F.col("user_id") % 12).alias("total"))
+    return events.progress(rows, "user_id")

@@ -228,10 +228,44 @@ def test_streams_agree_with_batches(spark, tmp_path):
     streaming.score_arriving(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(batch)  # resumed, nothing twice
     ev = spark.read.parquet(f"{FOLDER}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    ev.write.parquet(str(tmp_path / "ev"))
-    streaming.job_states(spark, str(tmp_path / "ev"), "states", str(tmp_path / "cp2")).awaitTermination(120)
     want = {r.user_id: (r.events, r.status) for r in events.job_state(ev).collect()}
-    assert {r.user_id: (r.events, r.status) for r in spark.table("states").collect()} == want
+    for k in range(3):  # three arrivals, each a micro-batch of its own
+        ev.filter(F.col("event_id") % 3 == k).write.mode("append").parquet(str(tmp_path / "ev"))
+        streaming.job_states(spark, str(tmp_path / "ev"), str(tmp_path / "states"), str(tmp_path / "cp2")).awaitTermination(120)
+    assert {r.user_id: (r.events, r.status) for r in streaming.states(spark, str(tmp_path / "states")).collect()} == want
+    assert len(streaming._versions(spark, str(tmp_path / "states"))) == 2
+
+
+def test_conversion_jobs_isolate_failures(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name, text in (("a.txt", "hello"), ("b.txt", "boom"), ("c.txt", "sleep")):
+        (tmp_path / "in" / name).write_text(text)
+
+    def convert(path, content):
+        import time
+
+        if content == b"boom":
+            raise ValueError("broken file")
+        if content == b"sleep":
+            time.sleep(20)
+        return content.decode().upper()
+
+    for _ in range(2):
+        streaming.convert_arriving(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), convert, seconds=1.0, glob="*.txt").awaitTermination(120)
+    got = {r.source[-5:]: (r.status, r.text, r.message) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {"a.txt": ("ok", "HELLO", ""), "b.txt": ("failed", "", "ValueError: broken file"), "c.txt": ("timeout", "", "no result in 1 s")}
+
+
+def test_workbook():
+    import io
+    import zipfile
+
+    from lakeloom.operators import rendering
+
+    with zipfile.ZipFile(io.BytesIO(rendering.workbook([["a", "<b>"], [1, None], ["x"] * 28]))) as z:
+        sheet = z.read("xl/worksheets/sheet1.xml").decode()
+        assert z.testzip() is None and len(z.namelist()) == 5
+    assert "&lt;b&gt;" in sheet and 'r="AB3"' in sheet and sheet.count("<row ") == 3
 
 
 def _norm(v):
