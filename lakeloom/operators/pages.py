@@ -9,6 +9,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -156,7 +157,11 @@ def mark_duplicates(pages: DataFrame, book: str = "book", order: str = "ordinal"
     return pages.groupBy(book).applyInPandas(of_book, schema)
 
 
-def overlap(left: str, right: str, limit: int = 500) -> int:
+#: Characters at a page's ends that may overlap, and of a gram that two ends must share to be compared.
+ENDS, END_GRAM = 500, 6
+
+
+def overlap(left: str, right: str, limit: int = ENDS) -> int:
     """Longest end of the left text that begins the right one: equal from 8 characters, similar from 12."""
     a, b = "".join((left or "").split())[-limit:], "".join((right or "").split())[:limit]
     for n in range(min(len(a), len(b)), 7, -1):
@@ -165,48 +170,85 @@ def overlap(left: str, right: str, limit: int = 500) -> int:
     return 0
 
 
-def continuity(before: dict, after: dict) -> tuple[float, int]:
-    """How well a page follows another, and their overlap."""
-    if before["page_number"] is not None and after["page_number"] is not None:
-        step = after["page_number"] - before["page_number"]
-        return (0.95 if step == 1 else max(0.15, 0.75 - 0.03 * min(step, 20)) if step > 1 else 0.02), 0
-    n = overlap(before["text"], after["text"])
-    return (0.9 if n >= 80 else 0.75 if n >= 30 else 0.35), n
+def overlaps(pages: DataFrame, book: str = "book", name: str = "name") -> DataFrame:
+    """book, before, after, overlap of the pages of a book whose ends overlap.
+
+    Pages are joined on grams that one's end and the other's beginning share, and each pair is measured once, in any task; only its
+    two ends travel.
+    """
+    body = compact(F.coalesce("text", F.lit("")))
+    ends = pages.select(book, name, F.substring(body, -ENDS, ENDS).alias("tail"), F.substring(body, 1, ENDS).alias("head"))
+    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - END_GRAM + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(END_GRAM))))
+    a = ends.select(book, F.col(name).alias("before"), F.explode(grams(F.col("tail"))).alias("g"))
+    b = ends.select(book, F.col(name).alias("after"), F.explode(grams(F.col("head"))).alias("g"))
+    pairs = a.join(b, [book, "g"]).filter("before <> after").select(book, "before", "after").distinct()
+    pairs = pairs.join(ends.select(book, F.col(name).alias("before"), "tail"), [book, "before"]).join(ends.select(book, F.col(name).alias("after"), "head"), [book, "after"])
+
+    def measure(batches):
+        for t in batches:
+            n = [overlap(x, y) for x, y in zip(t.column(3).to_pylist(), t.column(4).to_pylist(), strict=True)]
+            keep = pa.array([k > 0 for k in n])
+            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), t.column(2), pa.array(n, pa.int32())], [book, "before", "after", "overlap"]).filter(keep)
+
+    kind = pages.schema[book].dataType.simpleString()
+    return pairs.select(book, "before", "after", "tail", "head").mapInArrow(measure, f"`{book}` {kind}, before string, after string, overlap int")
+
+
+def _walk(pages: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+    """Orders one book from its pages' numbers and its overlaps; texts are not needed any more."""
+    pages = pages.sort_values(["tier", "number", "second", "low"], kind="stable").reset_index(drop=True)
+    shared = {(r.before, r.after): int(r.overlap) for r in links.itertuples()}
+    names, numbers, trust = pages["name"].tolist(), pages["page_number"].tolist(), pages["trust"].tolist()
+    numbers = [None if pd.isna(x) else int(x) for x in numbers]
+    rest, now = list(range(len(names))), 0
+    if any(x is None for x in numbers):
+        into, out = dict.fromkeys(names, 0), dict.fromkeys(names, 0)
+        for (x, y), n in shared.items():
+            out[x], into[y] = max(out[x], n), max(into[y], n)
+        now = min(rest, key=lambda i: (into[names[i]], -out[names[i]], i))  # little comes before a first page, much after it
+    found = []
+    sure, met = trust[now], 0
+    while True:
+        rest.remove(now)
+        found.append((now, sure, met))
+        if not rest:
+            break
+        best = None
+        for place, i in enumerate(rest):
+            n = 0
+            if numbers[now] is not None and numbers[i] is not None:
+                step = numbers[i] - numbers[now]
+                fit = 0.95 if step == 1 else max(0.15, 0.75 - 0.03 * min(step, 20)) if step > 1 else 0.02
+            else:
+                n = shared.get((names[now], names[i]), 0)
+                fit = 0.9 if n >= 80 else 0.75 if n >= 30 else 0.35
+            score = fit + 0.08 * trust[i] + max(0.0, 0.04 - 0.001 * place)
+            if best is None or score > best[0]:
+                best = (score, i, n)
+        now, sure, met = best[1], min(max(best[0], 0.0), 1.0), best[2]
+    return pages.assign(order_index=pd.Series({i: k for k, (i, _, _) in enumerate(found, 1)}), confidence=pd.Series({i: c for i, c, _ in found}), overlap=pd.Series({i: n for i, _, n in found}))
 
 
 def infer_order(pages: DataFrame, book: str = "book") -> DataFrame:
-    """pages (book, name, text, page_number, filename_number) with order_index (from 1), confidence and overlap with the page before."""
+    """pages (book, name, text, page_number, filename_number; names differ within a book) with order_index (from 1), confidence and overlap with the page before.
 
-    def of_book(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.astype(object).where(pdf.notna(), None).to_dict("records")
-
-        def base(p):
-            if p["page_number"] is not None:
-                return 0, p["page_number"], p["filename_number"] or 0, p["name"].lower()
-            return (1, p["filename_number"], 0, p["name"].lower()) if p["filename_number"] is not None else (2, 0, 0, p["name"].lower())
-
-        trust = lambda p: (0.9, 0.65, 0.45)[base(p)[0]]
-        left = sorted(rows, key=base)
-        start = 0
-        if len(left) > 1 and not all(p["page_number"] is not None for p in left):
-            into = lambda p: max((overlap(o["text"], p["text"]) for o in left if o is not p), default=0)
-            out = lambda p: max((overlap(p["text"], o["text"]) for o in left if o is not p), default=0)
-            start = min(range(len(left)), key=lambda i: (into(left[i]), -out(left[i]), base(left[i])))
-        chain = [left.pop(start)]
-        chain[0] |= {"confidence": trust(chain[0]), "overlap": 0}
-        while left:
-            scored = []
-            for i, p in enumerate(left):
-                score, n = continuity(chain[-1], p)
-                scored.append((score + 0.08 * trust(p) + max(0.0, 0.04 - 0.001 * i), -i, n))
-            score, at, n = max(scored)
-            chain.append(left.pop(-at) | {"confidence": min(max(score, 0.0), 1.0), "overlap": n})
-        for i, p in enumerate(chain, 1):
-            p["order_index"] = i
-        return pd.DataFrame(chain)[[*pdf.columns, "order_index", "confidence", "overlap"]]
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields) + ", order_index int, confidence double, overlap int"
-    return pages.groupBy(book).applyInPandas(of_book, schema)
+    What costs, the comparison of page ends, is a join over all books; the walk from page to page sees a book's numbers only.
+    """
+    has, filed = F.col("page_number").isNotNull(), F.col("filename_number").isNotNull()
+    light = pages.select(
+        book, "name", "page_number", F.when(has, 0).when(filed, 1).otherwise(2).alias("tier"), F.coalesce("page_number", "filename_number", F.lit(0)).cast("long").alias("number"),
+        F.when(has, F.coalesce("filename_number", F.lit(0))).otherwise(0).cast("long").alias("second"), F.lower("name").alias("low"), F.when(has, 0.9).when(filed, 0.65).otherwise(0.45).alias("trust"),
+    )
+    links = overlaps(pages, book)
+
+    def of_book(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left):
+            return pd.DataFrame(columns=[book, "name", "order_index", "confidence", "overlap"])
+        return _walk(left, right)[[book, "name", "order_index", "confidence", "overlap"]]
+
+    kind = pages.schema[book].dataType.simpleString()
+    placed = light.groupBy(book).cogroup(links.groupBy(book)).applyInPandas(of_book, f"`{book}` {kind}, name string, order_index int, confidence double, overlap int")
+    return pages.join(placed, [book, "name"])
 
 
 def rebuild(pages: DataFrame, order: DataFrame, key: str = "name") -> DataFrame:
