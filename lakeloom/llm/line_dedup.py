@@ -38,7 +38,6 @@ STEP = 16
 SKETCH = 2048
 
 _FACTORS = (mix64(np.arange(1, 129, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-_OFFSETS = (mix64(np.arange(1001, 1129, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
 
 def _grams(data: np.ndarray, lengths: np.ndarray, q: int):
@@ -118,8 +117,7 @@ def signatures(data: np.ndarray, lengths: np.ndarray, q: int, count: int) -> np.
         table = grams[spots]
         work = np.empty_like(table)
         for k in range(count):
-            np.bitwise_xor(table, _OFFSETS[k], out=work)
-            np.multiply(work, _FACTORS[k], out=work)
+            np.multiply(table, _FACTORS[k], out=work)
             out[i:j, k] = np.minimum.reduceat(np.minimum.reduce(work, axis=0), first)
     return out
 
@@ -135,25 +133,28 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return keys
 
 
+#: Bytes of normal forms: A-Z lower-cased, white space as a space.
+_FORM = np.arange(256, dtype=np.uint8)
+_FORM[65:91] += 32
+_FORM[9:14] = 32
+
+
 def lines_of(column: pa.Array):
     """For slices of a text column: the bytes of all normal forms, and for each line that is not blank its row, position, first and end byte."""
     for lo, _, buf, off in text_slices(column):
         mapped, starts, ends, first = words_of(buf, off, SPACED_LOWER_WORDS)
         if not len(starts):
             continue
-        inside = mapped != 0
-        keep = inside.copy()
-        keep[1:] |= inside[:-1]  # and the white space that ends a word
-        forms = np.where(inside, buf, np.uint8(32))
-        upper = (forms >= 65) & (forms <= 90)
-        forms[upper] += 32
-        at = np.cumsum(keep) - 1
-        breaks = np.r_[0, np.cumsum(buf == 10)]
+        keep = mapped != 0
+        keep[1:] |= keep[:-1].copy()  # and the white space that ends a word
+        at = np.cumsum(keep, dtype=np.int32) - 1
+        breaks = np.zeros(len(buf) + 1, np.int32)
+        np.cumsum(buf == 10, dtype=np.int32, out=breaks[1:])
         row = np.repeat(np.arange(len(off) - 1), np.diff(first))
         pos = breaks[starts] - breaks[off[:-1]][row]
         new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (pos[1:] != pos[:-1])])
         last = np.r_[new[1:], len(starts)] - 1
-        yield forms[keep], lo + row[new], pos[new], at[starts[new]], at[ends[last] - 1] + 1
+        yield _FORM[buf[keep]], lo + row[new], pos[new], at[starts[new]].astype(np.int64), at[ends[last] - 1].astype(np.int64) + 1
 
 
 def _key(form) -> bytes:
@@ -312,15 +313,15 @@ def links(lines: DataFrame, rows: DataFrame, scratch: Scratch, *, q: int = SHING
 
 def removals(rows: DataFrame, scratch: Scratch, *, q: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, band_rows: int = ROWS, tile: int = TILE) -> DataFrame:
     """did, th, gone (positions of lines that another line of their component precedes)."""
-    lines = scratch.write(_occurrences(rows, q, bands, band_rows), "lines")
+    lines = scratch.write(_occurrences(rows, q, bands, band_rows), "lines", "snappy")  # digests and keys hardly shrink
     roots = components(scratch.write(links(lines, rows, scratch, q=q, similarity=similarity, tile=tile), "links"), scratch)
     place = F.struct("did", "th", "pos")
-    met = lines.groupBy("lk").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    named = met.join(roots.withColumnRenamed("node", "lk"), "lk", "left").filter("root is not null or n > 1")
-    named = scratch.write(named.select("lk", F.coalesce("root", "lk").alias("root"), "first", "n"), "named")
-    firsts = scratch.write(named.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("n")).filter("n > 1").drop("n"), "firsts")
-    hot = scratch.write(named.select("lk", "root").join(firsts, "root").select("lk", "first"), "hot")
-    gone = lines.select("did", "th", "pos", "lk").join(hot, "lk").filter(place != F.col("first"))
+    met = lines.groupBy("lk").agg(F.count("*").alias("n"))
+    named = met.join(roots.withColumnRenamed("node", "lk"), "lk", "left").filter("root is not null or n > 1").select("lk", F.coalesce("root", "lk").alias("root"))
+    # only lines that stand several times, or that another one is like, are placed
+    placed = scratch.write(lines.select("did", "th", "pos", "lk").join(scratch.write(named, "named"), "lk").select("did", "th", "pos", "root"), "placed")
+    firsts = scratch.write(placed.groupBy("root").agg(F.min(place).alias("first")), "firsts")
+    gone = placed.join(firsts, "root").filter(place != F.col("first"))
     return scratch.write(gone.groupBy("did", "th").agg(F.collect_set("pos").alias("gone")), "gone")
 
 

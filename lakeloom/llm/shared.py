@@ -37,10 +37,10 @@ class Scratch:
         self.count = 0
         small_batches(spark)
 
-    def write(self, df: DataFrame, name: str = "t") -> DataFrame:
+    def write(self, df: DataFrame, name: str = "t", compression: str = "zstd") -> DataFrame:
         self.count += 1
         path = f"{self.root}/{name}-{self.count}"
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", compression).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str, count: int) -> None:
