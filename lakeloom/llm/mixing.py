@@ -134,5 +134,5 @@ def mix(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     model = train(docs, labels, id_col=id_col, text_col=text_col)
     kept = [c for c in (docs.columns if keep is None else keep) if c not in ("n_tokens", "p", "rate")]
     # written once, so that the texts are cut into words once
-    rows = scratch.write(posteriors(docs, model, text_col).select(*kept, "n_tokens", "p"), "posteriors")
+    rows = scratch.write(posteriors(docs, model, text_col).select(*kept, "n_tokens", "p"), "posteriors", "snappy")
     return rows.withColumn("rate", rate(fit_rates(rows, targets or TARGETS, rounds)))
