@@ -25,22 +25,41 @@ FOLLOWUPS = {
 }
 # Artifact types of JSON files by the first marker in their names.
 JSON_MARKERS = (
-    ("agent-handoff-bundle", "agent_handoff_bundle_json"),
-    ("agent-batch-results", "agent_batch_results"),
-    ("layout-table-review-bundle", "layout_table_review_bundle_json"),
-    ("backend-scorecard", "optional_backend_scorecard_json"),
-    ("review-decisions", "review_decisions_json"),
-    ("review-checklist", "review_json"),
-    ("environment-report", "environment_json"),
-    ("pipeline-comparison", "pdf_pipeline_comparison_json"),
-    ("quality-improvement-queue", "quality_improvement_queue_json"),
-    ("layout_candidates", "layout_candidates_json"),
-    ("table_candidates", "table_candidates_json"),
-    ("formula_candidates", "formula_candidates_json"),
-    ("summary", "summary_json"),
-    ("report", "conversion_report"),
-    ("structure", "structure_json"),
+    (("agent-handoff-bundle",), "agent_handoff_bundle_json"),
+    (("agent-smoke-summary",), "agent_smoke_summary_json"),
+    (("agent-batch-results",), "agent_batch_results"),
+    (("layout-table-review-bundle",), "layout_table_review_bundle_json"),
+    (("backend-scorecard",), "optional_backend_scorecard_json"),
+    (("candidate-benchmark-plan", "candidate-plan"), "candidate_benchmark_plan_json"),
+    (("review-decisions",), "review_decisions_json"),
+    (("review-checklist",), "review_json"),
+    (("environment-report",), "environment_json"),
+    (("environment-lock-compare",), "environment_lock_compare_json"),
+    (("environment-lock",), "environment_lock"),
+    (("benchmark-quality-comparison",), "quality_comparison_json"),
+    (("pipeline-comparison",), "pdf_pipeline_comparison_json"),
+    (("quality-improvement-queue",), "quality_improvement_queue_json"),
+    (("visual_check_result",), "visual_check_json"),
+    (("visual_blocks",), "visual_blocks_json"),
+    (("ocr-provider-comparison", "ocr_provider_comparison"), "ocr_provider_comparison_json"),
+    (("external-wrapper-result",), "external_wrapper_result_json"),
+    (("layout_candidates", "layout-candidates"), "layout_candidates_json"),
+    (("table_candidates", "table-candidates"), "table_candidates_json"),
+    (("formula_candidates", "formula-candidates"), "formula_candidates_json"),
+    (("document-vlm-result", "document_vlm_result"), "document_vlm_result_json"),
+    (("docling-document", "docling_document"), "docling_document_json"),
+    (("document-quality-evaluation", "document_quality_evaluation"), "document_quality_evaluation_json"),
+    (("document-provenance", "document_provenance"), "document_provenance_json"),
+    (("image_positions",), "image_positions_json"),
+    (("pypdf-metadata", "pdf-metadata"), "pdf_metadata_json"),
+    (("pypdf-outline", "pdf-outline"), "pdf_outline_json"),
+    (("layout-evidence", "layout_evidence"), "pdf_layout_evidence_json"),
+    (("summary",), "summary_json"),
+    (("report",), "conversion_report"),
+    (("cluster",), "clusters_json"),
+    (("structure",), "structure_json"),
 )
+# Points of a backend's state.
 STATUS_SCORES = {"ok": 55, "degraded": 35, "needs_server": 28, "needs_model": 25, "needs_env": 22, "planned_only": 18, "missing": 10}
 
 
@@ -64,11 +83,13 @@ def artifact_type(path: Column) -> Column:
     name = F.lower(F.regexp_extract(path, r"([^/\\]+)$", 1))
     kind = F.regexp_extract(name, r"\.([^.]+)$", 1)
     json = F.when(F.lit(False), F.lit(""))
-    for marker, value in JSON_MARKERS:
-        json = json.when(name.contains(marker), value)
-    lines = F.when(name == "chat.jsonl", "chat_jsonl").when(name.rlike("ocr[-_]blocks"), "ocr_blocks_jsonl").when(name.contains("location"), "location_index_jsonl").otherwise("pages_jsonl")
+    for markers, value in JSON_MARKERS:
+        for marker in markers:
+            json = json.when(name.contains(marker), value)
+    lines = F.when(name == "chat.jsonl", "chat_jsonl").when(name.rlike("ocr-blocks|ocr_blocks"), "ocr_blocks_jsonl").when(name.contains("location"), "location_index_jsonl").otherwise("pages_jsonl")
+    text = F.when(name == "chat.md", "chat_markdown").when(name.contains("agent-handoff-bundle"), "agent_handoff_bundle_markdown").when(name.contains("agent-smoke-summary"), "agent_smoke_summary_markdown").otherwise("markdown")
     return (
-        F.when(kind.isin("md", "markdown"), F.when(name == "chat.md", "chat_markdown").otherwise("markdown"))
+        F.when(kind.isin("md", "markdown"), text)
         .when(kind == "jsonl", lines)
         .when(kind == "json", json.otherwise("json"))
         .when(kind.isin("log", "txt"), "text")

@@ -337,3 +337,16 @@ def intelligence_blocks(spark, folder):
     out = k.block_totals(parts[0].unionByName(parts[1]).unionByName(parts[2]), "source")
     text = F.array_join(F.transform(F.array_sort(F.map_entries("kinds")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
     return out.withColumn("kinds", text)
+
+
+_NAMES = ("out/chat.md", "x/agent-handoff-bundle.md", "notes.markdown", "chat.jsonl", "a/ocr_blocks.jsonl", "location-index.jsonl", "pages.jsonl", "b/layout-evidence.json", "run-Summary.json", "my.report.json", "plain.json", "candidate-plan.json", "environment-lock-compare.json", "environment-lock.json", "t.hocr", "t.tsv", "t.log", "t.htm", "scan.PNG", "none")
+_TYPES = ("chat_markdown", "agent_handoff_bundle_markdown", "markdown", "chat_jsonl", "ocr_blocks_jsonl", "location_index_jsonl", "pages_jsonl", "pdf_layout_evidence_json", "summary_json", "conversion_report", "json", "candidate_benchmark_plan_json", "environment_lock_compare_json", "environment_lock", "hocr", "tsv", "text", "html", "png", "artifact")
+
+
+@query(_SQL + "SELECT id, [" + ", ".join(f"'{t}'" for t in _TYPES) + "][id % 20 + 1] AS type FROM a")
+def artifact_types(spark, folder):
+    """Types of artifacts by their names."""
+    from ..operators.governance import artifact_type
+
+    name = F.get(F.array(*(F.lit(x) for x in _NAMES)), (_c("id") % 20).cast("int"))
+    return _artifacts(spark, folder).select("id", artifact_type(name).alias("type"))
