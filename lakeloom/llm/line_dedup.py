@@ -307,7 +307,7 @@ def links(lines: DataFrame, rows: DataFrame, scratch: Scratch, *, q: int = SHING
     dealt = members.select("lk", "band", mine.alias("t"), tiles.alias("tiles")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     dealt = dealt.select("lk", "band", F.least("t", "o").alias("t0"), F.greatest("t", "o").alias("t1"), F.when(F.col("t") <= F.col("o"), 0).otherwise(1).alias("side"))
     texts = _texts(rows, scratch.write(members.select("lk").distinct(), "wanted"))
-    rows = dealt.join(texts, "lk").select("band", "t0", "t1", "lk", "side", "form").repartition("band", "t0", "t1").sortWithinPartitions("band", "t0", "t1")
+    rows = dealt.hint("shuffle_hash").join(texts, "lk").select("band", "t0", "t1", "lk", "side", "form").repartition("band", "t0", "t1").sortWithinPartitions("band", "t0", "t1")
     return rows.mapInArrow(_verify(q, similarity), "a binary, b binary").distinct()
 
 
@@ -349,7 +349,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **
 
     schema = "doc_id long, n_lines long, n_removed long, kept_sha256 string"
     some, done = split_rows(rows, ("did", "th"), gone.select("did", "th"), of_batch, schema)
-    joined = some.join(gone, ["did", "th"], "left").select("did", "th", "text", "gone")
+    joined = some.join(gone.hint("shuffle_hash"), ["did", "th"], "left").select("did", "th", "text", "gone")  # no sort of texts
     return map_arrow(joined, of_batch, schema).union(done)
 
 
@@ -359,7 +359,7 @@ def clean(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ch
     gone = removals(prepared(docs, id_col, text_col), scratch, **options)
     some, none = split_rows(keyed(docs, id_col, text_col), KEY, gone.select("did", "th"))
     gone = gone.select(F.col("did").alias(KEY[0]), F.col("th").alias(KEY[1]), F.col("gone").alias("__loom_gone"))
-    joined = some.join(gone, list(KEY), "left").select(*docs.columns, "__loom_gone")
+    joined = some.join(gone.hint("shuffle_hash"), list(KEY), "left").select(*docs.columns, "__loom_gone")  # no sort of texts
     at = docs.columns.index(text_col)
 
     def of_batch(batch: pa.RecordBatch):

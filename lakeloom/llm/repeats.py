@@ -270,6 +270,6 @@ def finish(rows: DataFrame, spans: DataFrame, units: Units, scratch: Scratch, te
 
     schema = "doc_id long, n_units long, n_removed long, n_spans long, kept_sha256 string, n_elsewhere long, kept binary"
     some, done = split_rows(rows, ("did", "th"), per_doc.select("did", "th"), of_batch, schema)
-    joined = some.join(per_doc, ["did", "th"], "left").select("did", "th", "text", "spans", "n_elsewhere")
+    joined = some.join(per_doc.hint("shuffle_hash"), ["did", "th"], "left").select("did", "th", "text", "spans", "n_elsewhere")  # no sort of texts
     done = map_arrow(joined, of_batch, schema).union(done)
     return done if texts_too else done.drop("kept")

@@ -216,9 +216,10 @@ def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     scratch = Scratch(docs.sparkSession, "simhash")
     fps = scratch.write(fingerprints(docs, id_col=id_col, text_col=text_col, words=words), "fps")
     more = alike(docs, fps, scratch, id_col=id_col, text_col=text_col, similarity=similarity) if similarity is not None else None
-    member = fps.groupBy("did", "th").agg(F.min("fp").alias("fp"), F.count("*").alias("n")).join(groups(fps, radius, scratch, more).select("fp", "root"), "fp")
+    found = groups(fps, radius, scratch, more).select("fp", "root")
+    member = scratch.write(fps.groupBy("did", "th").agg(F.min("fp").alias("fp"), F.count("*").alias("n")).join(found, "fp"), "members")
     order = F.struct((F.col("did") == NO_ID).alias("unnamed"), "did", "th")
-    first = member.groupBy("root").agg(F.min(order).alias("first"))
+    first = scratch.write(member.groupBy("root").agg(F.min(order).alias("first")), "first")  # a table of its own, so that a join with a large group can be split
     state = member.join(first, "root").select("did", "th", "n", (order == F.col("first")).alias("stays"))
     touched = scratch.write(state.filter("not stays or n > 1").select(F.col("did").alias(KEY[0]), F.col("th").alias(KEY[1]), F.col("stays").alias("__loom_stays")), "touched")
     some, none = split_rows(keyed(docs, id_col, text_col), KEY, touched)
