@@ -115,17 +115,13 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tem
     voted = lambda c: F.when(F.col("same"), F.col(c))
     keys = ["row_id", "doc_id", "n_words"]
     template = ["name", "label", "base", "n_grams"]
-    votes = (
-        hits.select(*keys, *(voted(c).alias(c) for c in (*template, "t")), F.when(F.col("same"), F.col("p") - F.col("t")).alias("diagonal"))
-        .groupBy(*keys, *template, "diagonal")
-        .agg(F.collect_set("t").alias("ts"))  # template positions: as many as the template has at most
-    )
-    near = Window.partitionBy("row_id", "name").orderBy("diagonal")
+    votes = hits.select(*keys, *(voted(c).alias(c) for c in (*template, "t")), F.when(F.col("same"), F.col("p") - F.col("t")).alias("diagonal")).distinct()
+    near = Window.partitionBy("row_id", "name").orderBy("diagonal", "t")
     step = F.col("diagonal") - F.lag("diagonal").over(near)
     # a base phrase is looked up as it stands, so its diagonals stay apart
-    votes = votes.withColumn("new", F.when(step.isNull() | (step > slack) | F.col("base"), 1).otherwise(0))
-    votes = votes.withColumn("span", F.sum("new").over(near)).withColumn("full", F.size("ts") == F.col("n_grams"))
-    placed = votes.select(*keys, *template, "span", "full", "diagonal", F.explode_outer("ts").alias("t")).withColumn("p", F.col("diagonal") + F.col("t"))
+    votes = votes.withColumn("new", F.when(step.isNull() | (step > slack) | (F.col("base") & (step > 0)), 1).otherwise(0))
+    full = F.count("t").over(Window.partitionBy("row_id", "name", "diagonal")) == F.col("n_grams")
+    placed = votes.withColumns({"span": F.sum("new").over(near), "full": full, "p": F.col("diagonal") + F.col("t")})
     own = Window.partitionBy("row_id", "name", "span")
     ahead, back = (own.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1) for order in (("p", F.desc("t")), (F.desc("p"), "t")))
     above, below = F.max("t").over(ahead), F.min("t").over(back)
