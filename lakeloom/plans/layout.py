@@ -87,7 +87,7 @@ def page_difficulty(spark, folder):
 
 @query(
     BLOCKS_SQL
-    + """SELECT page, array_to_string(list_sort(list(concat(kind, '=', n))), ', ') AS kinds, max(area) AS largest FROM (SELECT page, kind, count(*) AS n, max((x2 - x1) * (y2 - y1)) AS area FROM blocks GROUP BY ALL) GROUP BY page"""
+    + """SELECT page, array_to_string(list_sort(list(concat(kind, '=', n))), ', ') AS kinds, max(area)::DOUBLE AS largest FROM (SELECT page, kind, count(*) AS n, max((x2 - x1) * (y2 - y1)) AS area FROM blocks GROUP BY ALL) GROUP BY page"""
 )
 def block_kinds(spark, folder):
     """Blocks by kind and the largest block of each page."""
