@@ -34,9 +34,10 @@ def rates(events: DataFrame, by: str = "user_id") -> DataFrame:
 
 
 def sessions(events: DataFrame, gap_seconds: int, job: str = "user_id") -> DataFrame:
-    """Runs of events of a job with no pause over the gap: start, end, events."""
+    """Runs of events of a job with no pause over the gap: start, end, events. A pause counts the seconds of the clock that begin in it, not whole ones that passed."""
     w = Window.partitionBy(job).orderBy("ts", "event_id")
-    pause = F.timestamp_diff("SECOND", F.lag("ts").over(w), F.col("ts"))
+    second = F.unix_seconds(F.col("ts").cast("timestamp"))
+    pause = second - F.lag(second).over(w)
     rows = events.withColumn("_s", F.sum(F.coalesce((pause > gap_seconds).cast("int"), F.lit(1))).over(w))
     return rows.groupBy(job, "_s").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("*").alias("events")).drop("_s")
 

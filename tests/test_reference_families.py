@@ -236,6 +236,20 @@ def test_streams_agree_with_batches(spark, tmp_path):
     assert len(streaming._versions(spark, str(tmp_path / "states"))) == 2
 
 
+def test_sessions_count_seconds_of_the_clock(spark, tmp_path):
+    from lakeloom.plans.catalogue import QUERIES, SQL
+
+    # Pauses of 86400.5 s: over the gap where the clock begins 86401 seconds in them, not where it begins 86400.
+    times = [(1, "2024-01-01 00:00:00.6"), (1, "2024-01-02 00:00:01.1"), (2, "2024-01-01 00:00:00.1"), (2, "2024-01-02 00:00:00.6"), (3, "1969-12-31 12:00:00.5"), (3, "1970-01-01 12:00:01.0"), (4, "2024-01-01 00:00:00.0"), (4, None)]
+    rows = spark.createDataFrame([(i, *t) for i, t in enumerate(times)], "event_id long, user_id long, t string")
+    rows.select("event_id", "user_id", F.col("t").cast("timestamp_ntz").alias("ts")).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    got = [tuple(r) for r in QUERIES["event_sessions"](spark, str(tmp_path)).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, con.sql(SQL["event_sessions"]).fetchall()))
+    assert sorted(r[0] for r in got) == [1, 1, 2, 3, 3, 4, 4]
+
+
 def test_conversion_jobs_isolate_failures(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for name, text in (("a.txt", "hello"), ("b.txt", "boom"), ("c.txt", "sleep")):
