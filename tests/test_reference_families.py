@@ -250,6 +250,18 @@ def test_sessions_count_seconds_of_the_clock(spark, tmp_path):
     assert sorted(r[0] for r in got) == [1, 1, 2, 3, 3, 4, 4]
 
 
+def test_paths_of_texts_without_small_letters(spark, tmp_path):
+    from lakeloom.plans.catalogue import QUERIES, SQL
+
+    texts = ["", "ABC 1", "3.", "  ", None, "a", " b. ", "long name " * 30, "x" + " " * 200 + "y", "w" * 145, "w" * 146]
+    spark.createDataFrame([(27 + 200 * i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = [tuple(r) for r in QUERIES["shortened_paths"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(con.sql(SQL["shortened_paths"]).fetchall())
+    assert [r[0] for r in sorted(got)] == [27 + 200 * i for i in range(5, 11)]
+
+
 def test_conversion_jobs_isolate_failures(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for name, text in (("a.txt", "hello"), ("b.txt", "boom"), ("c.txt", "sleep")):
